@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, source_mix
+from . import chat_format, exact_dedup, near_dedup, source_mix
 from .common import documents
 
 
@@ -19,6 +19,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "finish", "copies")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(documents(spark, sf_dir))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return chat_format.digests(chat_format.format_chats(chat_format.with_hard_case(spark, rows)))
@@ -27,5 +31,6 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_source_mix": op4_source_mix,
+    "op5_near_dedup": op5_near_dedup,
     "op9_chat_format": op9_chat_format,
 }

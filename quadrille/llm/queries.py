@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, near_dedup, source_mix
+from . import chat_format, exact_dedup, near_dedup, packing, source_mix
 from .common import documents
 
 
@@ -14,6 +14,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(documents(spark, sf_dir))
 
 
+def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = source_mix.mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "finish", "copies")
@@ -30,6 +34,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
     "op4_source_mix": op4_source_mix,
     "op5_near_dedup": op5_near_dedup,
     "op9_chat_format": op9_chat_format,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, near_dedup, packing, source_mix
+from . import chat_format, exact_dedup, license_scan, media, near_dedup, packing, source_mix, url_filter
 from .common import documents
 
 
@@ -27,15 +27,30 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(documents(spark, sf_dir))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.labels(documents(spark, sf_dir))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return chat_format.digests(chat_format.format_chats(chat_format.with_hard_case(spark, rows)))
 
 
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(documents(spark, sf_dir), keep=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
     "op4_source_mix": op4_source_mix,
     "op5_near_dedup": op5_near_dedup,
+    "op6_license_scan": op6_license_scan,
+    "op7_url_filter": op7_url_filter,
     "op9_chat_format": op9_chat_format,
+    "op10_media_columns": op10_media_columns,
 }

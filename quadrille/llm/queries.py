@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, license_scan, media, near_dedup, packing, source_mix, url_filter
+from . import chat_format, exact_dedup, language_id, license_scan, media, near_dedup, packing, quality, source_mix, url_filter
 from .common import documents
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_all(documents(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(documents(spark, sf_dir))
 
@@ -35,6 +39,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_all(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return chat_format.digests(chat_format.format_chats(chat_format.with_hard_case(spark, rows)))
@@ -45,12 +53,14 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
     "op4_source_mix": op4_source_mix,
     "op5_near_dedup": op5_near_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_url_filter": op7_url_filter,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_chat_format": op9_chat_format,
     "op10_media_columns": op10_media_columns,
 }

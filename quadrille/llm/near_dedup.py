@@ -1,8 +1,8 @@
 """Near-duplicate classes: SetSketch bands propose, a joint likelihood screens, full shingle sets decide.
 
-1. One pass over the texts gives each document its shingle set, the set's fingerprint, registers and band keys.
+1. One pass over the texts gives each document the size and fingerprint of its shingle set and its registers' band keys.
 2. Equal sets collapse to a representative, by a minimum that is combined before the shuffle.
-3. Representatives that share a band key meet in a bucket. A bucket never lists its pairs: each round, a few pivots are
+3. Representatives that share a band key meet in a bucket; a second pass keeps registers and sets of these documents only. A bucket never lists its pairs: each round, a few pivots are
    drawn from it and every other member that isn't yet in the pivot's class is tested against them. Used pivots leave
    the bucket, and a bucket whose members are one class is done; so the rounds end, and by then every pair of a bucket
    was tested or already connected. Classes of copies close after the first rounds at one test a member.
@@ -32,12 +32,16 @@ PERCENT = 85
 SLACK = 0.27
 #: Bytes kept of a shingle's 64-bit hash in the stored sets.
 KEPT = 6
-PIVOTS = (1, 4, 16, 64, 256)
+#: Pivots of a bucket by round; later rounds double.
+PIVOTS = (1, 16, 256)
+#: Most ids of a broadcast; more are joined by a shuffle.
+BROADCAST = 500_000
 
-_SKETCH = "doc_id long, n_shingles long, fp1 long, fp2 long, regs binary, bands array<long>, shingles binary"
+_BANDS = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
+_SETS = "doc_id long, n_shingles long, regs binary, shingles binary"
 
 
-def _sketch(k: int):
+def _sketch(k: int, keep_sets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
@@ -53,6 +57,17 @@ def _sketch(k: int):
                     n[i] = len(sets[-1])
                 flat, of = np.concatenate(sets), np.repeat(np.arange(hi - lo), n)
                 regs = setsketch.registers(flat, of, hi - lo)
+                if keep_sets:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).slice(lo, hi - lo),
+                            pa.array(n),
+                            pa.array([r.tobytes() for r in regs], pa.binary()),
+                            pa.array([packed(s) for s in sets], pa.binary()),
+                        ],
+                        names=["doc_id", "n_shingles", "regs", "shingles"],
+                    )
+                    continue
                 fp = np.zeros((2, hi - lo), U64)
                 full = np.flatnonzero(n)
                 if len(full):
@@ -61,18 +76,8 @@ def _sketch(k: int):
                     fp[1, full] = np.bitwise_xor.reduceat(mix(flat ^ U64(0xA5A5A5A5A5A5A5A5)), at)
                 keys = setsketch.band_keys(regs)
                 bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, hi - lo),
-                        pa.array(n),
-                        pa.array(fp[0].view(np.int64)),
-                        pa.array(fp[1].view(np.int64)),
-                        pa.array([r.tobytes() for r in regs], pa.binary()),
-                        bands,
-                        pa.array([packed(s) for s in sets], pa.binary()),
-                    ],
-                    names=["doc_id", "n_shingles", "fp1", "fp2", "regs", "bands", "shingles"],
-                )
+                cols = [batch.column(0).slice(lo, hi - lo), pa.array(n), *(pa.array(x.view(np.int64)) for x in fp), bands]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "fp1", "fp2", "bands"])
 
     return run
 
@@ -115,20 +120,30 @@ def _confirm(percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _among(df: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The rows of df with a doc_id in the table ids, of n rows."""
+    return df.join(F.broadcast(ids) if n <= BROADCAST else ids, "doc_id", "left_semi")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are near enough."""
-    regs = sketches.select("doc_id", "regs", "n_shingles")
-    left = regs.select(F.col("doc_id").alias("a"), F.col("regs").alias("ra"), F.col("n_shingles").alias("na"))
-    right = regs.select(F.col("doc_id").alias("b"), F.col("regs").alias("rb"), F.col("n_shingles").alias("nb"))
+
+    def own(found: DataFrame, *names: str) -> list[DataFrame]:
+        ids = found.select(F.col("a").alias("doc_id")).unionByName(found.select(F.col("b").alias("doc_id"))).distinct()
+        ids = materialize(ids, "ids")
+        some = _among(sets.select("doc_id", *names), ids, ids.count())
+        return [some.select(F.col("doc_id").alias(side), *[F.col(n).alias(n + side) for n in names]) for side in "ab"]
+
+    left, right = own(pairs, "regs", "n_shingles")
     both = pairs.join(left, "a").join(right, "b")
     # Sets whose sizes alone exclude a link.
-    both = both.filter(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
-    likely = both.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_screen(percent / 100 - SLACK), "a long, b long")
-    likely = materialize(likely, "likely")
-    sets = sketches.select("doc_id", "shingles")
-    both = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long")
+    small, large = F.least("n_shinglesa", "n_shinglesb"), F.greatest("n_shinglesa", "n_shinglesb")
+    both = both.filter(F.lit(100) * small >= F.lit(percent) * large)
+    both = both.select("a", "b", "regsa", "regsb", "n_shinglesa", "n_shinglesb")
+    likely = materialize(both.mapInArrow(_screen(percent / 100 - SLACK), "a long, b long"), "likely")
+    left, right = own(likely, "shingles")
+    both = likely.join(left, "a").join(right, "b").select("a", "b", "shinglesa", "shinglesb")
+    return both.mapInArrow(_confirm(percent), "a long, b long")
 
 
 def _open(state: DataFrame) -> DataFrame:
@@ -148,23 +163,21 @@ def classes(df: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    sketched = materialize(rows.mapInArrow(_sketch(k), _SKETCH), "sketched")
+    sketched = materialize(rows.mapInArrow(_sketch(k, False), _BANDS), "sketched")
     full = sketched.filter("n_shingles > 0 and doc_id is not null")
-    reps = full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = materialize(reps, "reps")
-    ids = reps.select(F.col("rep").alias("doc_id"))
-    # A repeated id appears once among the sketches that pairs look up.
-    sketches = full.join(ids, "doc_id", "left_semi")
-    if reps.count() != sketches.count():
-        sketches = materialize(sketches.dropDuplicates(["doc_id"]), "single")
-    bands = sketches.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
+    first = full.groupBy("fp1", "fp2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("least"))
+    reps = materialize(first.select("fp1", "fp2", "n_shingles", F.col("least.doc_id").alias("rep"), "least.bands"), "reps")
+    bands = reps.select("rep", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo != hi").select("key")
-    state = bands.join(shared, "key").select("key", "rep", F.col("rep").alias("comp"))
+    state = materialize(bands.join(shared, "key").select("key", "rep", F.col("rep").alias("comp")), "buckets")
+    active = materialize(state.select(F.col("rep").alias("doc_id")).distinct(), "active")
+    n = active.count()
+    sets = materialize(_among(rows, active, n).mapInArrow(_sketch(k, True), _SETS), "sets")
+    # An id that is repeated with other texts is one node; any one of its texts stands for it.
+    if sets.count() != n:
+        sets = materialize(sets.dropDuplicates(["doc_id"]), "sets")
     links, labels, turn = None, None, 0
-    while True:
-        state = materialize(state, "buckets")
-        if state.isEmpty():
-            break
+    while not state.isEmpty():
         p = PIVOTS[min(turn, len(PIVOTS) - 1)] * 2 ** max(0, turn - len(PIVOTS) + 1)
         order = F.xxhash64("rep", F.lit(turn))
         drawn = state.groupBy("key", F.pmod(F.xxhash64(F.lit(-1 - turn), "rep"), F.lit(p)).alias("slot"))
@@ -172,7 +185,7 @@ def classes(df: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
         pivots = drawn.select("key", F.col("at.rep").alias("pivot"), F.col("at.comp").alias("pivot_comp"))
         pairs = state.join(pivots, "key").filter("comp != pivot_comp")
         pairs = pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        found = materialize(_linked(pairs, sketches, percent), "found")
+        found = materialize(_linked(materialize(pairs, "pairs"), sets, percent), "found")
         used = pivots.select("key", F.col("pivot").alias("rep"))
         state = state.join(used, ["key", "rep"], "left_anti")
         if not found.isEmpty():
@@ -180,7 +193,7 @@ def classes(df: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
             labels = components(links)
             state = state.drop("comp").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
             state = state.select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-        state = _open(state)
+        state = materialize(_open(state), "buckets")
         turn += 1
     if labels is None:
         named = reps.withColumn("component", F.col("rep"))

@@ -15,14 +15,13 @@ def components(links: DataFrame) -> DataFrame:
     splits. Null ends and loops are ignored; repeated links count once; no links, no rows.
     """
     a, b = F.col("a"), F.col("b")
-    e = links.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e = materialize(e, "links")
+    e = links.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
 
     def mark(x: DataFrame) -> tuple:
         return tuple(x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first())
 
-    seen = mark(e)
-    while seen[0]:
+    seen = None
+    while seen is None or seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()

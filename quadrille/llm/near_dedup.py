@@ -2,17 +2,22 @@
 
 1. One pass over the texts gives each document the size and fingerprint of its shingle set and its registers' band keys.
 2. Equal sets collapse to a representative, by a minimum that is combined before the shuffle.
-3. Representatives that share a band key meet in a bucket; a second pass keeps registers and sets of these documents only. A bucket never lists its pairs: each round, a few pivots are
-   drawn from it and every other member that isn't yet in the pivot's class is tested against them. Used pivots leave
-   the bucket, and a bucket whose members are one class is done; so the rounds end, and by then every pair of a bucket
-   was tested or already connected. Classes of copies close after the first rounds at one test a member.
-4. Tests are joins of pairs with registers, then, for those the likelihood leaves, with the full sets.
-
-With 36 bands of 5 registers, a pair at similarity 0.85 shares no band with probability 7e-10.
+3. Representatives that share a band key meet in a bucket; a second pass keeps registers and sets of these documents only.
+   A bucket never lists its pairs: each round, some pivots are drawn from it and every other member that isn't yet in the
+   pivot's class is held against them. The join itself compares sizes, one bit a register and, after the first round,
+   the shingles of a document that other candidates have at all, which leaves few pairs.
+   Used pivots leave the bucket, and a bucket whose members are one class is done; so the rounds end, and by then every
+   pair of a bucket was tested or already connected. Classes of copies close after the first rounds.
+4. Pairs that are left are joined with registers and full sets: what the joint likelihood of the registers leaves is
+   decided by the sets.
+
+With 36 bands of 5 registers, a pair at similarity 0.85 shares no band with probability 7e-10; the bits and the likelihood
+each lose one with less than 1e-9.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +33,22 @@ from .textbytes import LOWER, SPACES, U64, mix, pieces, shingles, utf8, word_has
 WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Pairs whose estimate is this far below are not compared in full: over eight standard errors at 180 registers.
-SLACK = 0.27
+#: Pairs whose estimate is this far below are not compared in full: a binomial tail of 3e-10 at 180 registers.
+SLACK = 0.2
+#: Longs of the bitmap of a document's shared shingles.
+MAP = 16
+MAPS = [f"map{i}" for i in range(MAP)]
 #: Bytes kept of a shingle's 64-bit hash in the stored sets.
 KEPT = 6
-#: Pivots of a bucket by round; later rounds double.
-PIVOTS = (1, 16, 256)
+#: Chance at which a pair at the threshold may differ in more register bits than allowed.
+TAIL = 1e-9
+#: Pivots of a bucket by round; later rounds take four times as many as the one before. A bucket with no more members than
+#: that is done in the round.
+PIVOTS = (1, 64, 4096)
 #: Most ids of a broadcast; more are joined by a shuffle.
 BROADCAST = 500_000
 
-_BANDS = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
+_BANDS = "doc_id long, n_shingles long, fp1 long, fp2 long, bit1 long, bit2 long, bit3 long, bands array<long>"
 _SETS = "doc_id long, n_shingles long, regs binary, shingles binary"
 
 
@@ -76,8 +87,10 @@ def _sketch(k: int, keep_sets: bool):
                     fp[1, full] = np.bitwise_xor.reduceat(mix(flat ^ U64(0xA5A5A5A5A5A5A5A5)), at)
                 keys = setsketch.band_keys(regs)
                 bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel()))
-                cols = [batch.column(0).slice(lo, hi - lo), pa.array(n), *(pa.array(x.view(np.int64)) for x in fp), bands]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "fp1", "fp2", "bands"])
+                cols = [batch.column(0).slice(lo, hi - lo), pa.array(n), *(pa.array(x.view(np.int64)) for x in fp)]
+                cols += [*(pa.array(np.ascontiguousarray(x)) for x in low_bits(regs).T), bands]
+                names = ["doc_id", "n_shingles", "fp1", "fp2", "bit1", "bit2", "bit3", "bands"]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
@@ -94,25 +107,36 @@ def unpacked(data: bytes) -> np.ndarray:
     return wide.view(">u8").ravel().astype(U64)
 
 
-def _screen(floor: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int16).reshape(batch.num_rows, -1) for c in (2, 3))
-            n_a, n_b = (batch.column(c).to_numpy().astype(float) for c in (4, 5))
-            likely = setsketch.joint_estimate(a, b, n_a, n_b) >= floor
-            yield batch.select([0, 1]).filter(pa.array(likely))
+def low_bits(regs: np.ndarray) -> np.ndarray:
+    """The lowest bit of each register, as three longs a row."""
+    wide = np.zeros((len(regs), 192), np.uint8)
+    wide[:, : regs.shape[1]] = regs & 1
+    return np.packbits(wide, axis=1).view(np.int64)
 
-    return run
+
+def most_unequal(percent: int, registers: int = setsketch.REGISTERS, tail: float = TAIL) -> int:
+    """The least number of unequal bits that a pair at the threshold exceeds with a chance below the tail."""
+    p = (100 - percent) / 200
+    left = 1.0
+    for i in range(registers + 1):
+        left -= math.comb(registers, i) * p**i * (1 - p) ** (registers - i)
+        if left < tail:
+            return i
+    return registers
 
 
-def _confirm(percent: int):
+def _confirm(percent: int, floor: float):
+    """Pairs (a, b) by their registers' joint likelihood, then by their full sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = unpacked(x), unpacked(y)
+            if not batch.num_rows:
+                continue
+            regs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int16).reshape(batch.num_rows, -1) for c in (2, 3)]
+            sizes = [batch.column(c).to_numpy().astype(float) for c in (4, 5)]
+            linked = setsketch.joint_estimate(*regs, *sizes) >= floor
+            for i in np.flatnonzero(linked):
+                x, y = (unpacked(batch.column(c)[i].as_py()) for c in (6, 7))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 linked[i] = 100 * common >= percent * (len(x) + len(y) - common)
             yield batch.select([0, 1]).filter(pa.array(linked))
@@ -127,29 +151,60 @@ def _among(df: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are near enough."""
-
-    def own(found: DataFrame, *names: str) -> list[DataFrame]:
-        ids = found.select(F.col("a").alias("doc_id")).unionByName(found.select(F.col("b").alias("doc_id"))).distinct()
-        ids = materialize(ids, "ids")
-        some = _among(sets.select("doc_id", *names), ids, ids.count())
-        return [some.select(F.col("doc_id").alias(side), *[F.col(n).alias(n + side) for n in names]) for side in "ab"]
-
-    left, right = own(pairs, "regs", "n_shingles")
-    both = pairs.join(left, "a").join(right, "b")
-    # Sets whose sizes alone exclude a link.
-    small, large = F.least("n_shinglesa", "n_shinglesb"), F.greatest("n_shinglesa", "n_shinglesb")
-    both = both.filter(F.lit(100) * small >= F.lit(percent) * large)
-    both = both.select("a", "b", "regsa", "regsb", "n_shinglesa", "n_shinglesb")
-    likely = materialize(both.mapInArrow(_screen(percent / 100 - SLACK), "a long, b long"), "likely")
-    left, right = own(likely, "shingles")
-    both = likely.join(left, "a").join(right, "b").select("a", "b", "shinglesa", "shinglesb")
-    return both.mapInArrow(_confirm(percent), "a long, b long")
+    names = ["regs", "n_shingles", "shingles"]
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = materialize(ids, "ids")
+    some = _among(sets, ids, ids.count())
+    left, right = (some.select(F.col("doc_id").alias(side), *[F.col(n).alias(n + side) for n in names]) for side in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", *[n + side for n in names for side in "ab"])
+    return both.mapInArrow(_confirm(percent, percent / 100 - SLACK), "a long, b long")
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 64):
+            some = batch.slice(lo, 64)
+            sets = [unpacked(x) for x in some.column(1).to_pylist()]
+            ids = np.repeat(some.column(0).to_numpy(), [len(x) for x in sets])
+            flat = np.concatenate(sets).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(flat)], names=["doc_id", "shingle"])
+
+
+def _shared_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, common, map0, map1, ...): how many shingles others have too, and a bitmap of these shingles' low bits."""
+    for batch in batches:
+        common, maps = [], np.zeros((batch.num_rows, 64 * MAP), np.uint8)
+        for i, (x, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
+            shared = unpacked(x)
+            if own.is_valid:
+                shared = np.setdiff1d(shared, own.values.to_numpy().view(U64), assume_unique=True)
+            common.append(len(shared))
+            maps[i, (shared >> U64(64 - 8 * KEPT) & U64(64 * MAP - 1)).astype(np.int64)] = 1
+        longs = np.packbits(maps, axis=1).view(np.int64).reshape(-1, MAP)
+        cols = [batch.column(0), pa.array(common, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in longs.T)]
+        yield pa.RecordBatch.from_arrays(cols, names=["rep", "common", *MAPS])
+
+
+def _with_shared(state: DataFrame, sets: DataFrame) -> DataFrame:
+    """Set `common` and the maps from the shingles of a document that any other document still in a bucket has.
+
+    Twice a pair's intersection is no larger than both documents' common shingles less the bits that only one map has. This
+    rules out copies that were edited in too many places to link, however many of them meet in a bucket.
+    """
+    ids = materialize(state.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    some = _among(sets.select("doc_id", "shingles"), ids, ids.count())
+    rows = some.mapInArrow(_shingle_rows, "doc_id long, shingle long")
+    once = rows.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    own = once.groupBy("doc_id").agg(F.collect_list("shingle").alias("own"))
+    facts = some.join(own, "doc_id", "left").select("doc_id", "shingles", "own")
+    facts = facts.mapInArrow(_shared_map, "rep long, common long, " + ", ".join(f"{m} long" for m in MAPS))
+    return state.drop("common", *MAPS).join(facts, "rep")
 
 
 def _open(state: DataFrame) -> DataFrame:
-    """Bucket rows of buckets with members of two classes or more."""
-    keys = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-    return state.join(keys, "key")
+    """Bucket rows of buckets with members of two classes or more, and their `size`."""
+    keys = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"))
+    return state.drop("size").join(keys.filter("lo != hi").select("key", "size"), "key")
 
 
 def classes(df: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -158,42 +213,60 @@ def classes(df: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     * null, empty or blank text: no shingles, linked with nothing, component_id is the document's own id, kept.
     * fewer than k words: the whole sequence is the only shingle.
     * null doc_id: component_id null and kept false if another document has an equal set, else kept; links with nothing.
-    * rows that repeat a doc_id and text: each returned, same values. Empty table: empty. Other columns are ignored.
+    * rows that repeat a doc_id and text: each returned, same values. A doc_id with several texts is one node, and any one
+      of the texts stands for it in the tests. Empty table: empty. Other columns are ignored.
     """
     spark = df.sparkSession
     small_batches(spark)
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     sketched = materialize(rows.mapInArrow(_sketch(k, False), _BANDS), "sketched")
     full = sketched.filter("n_shingles > 0 and doc_id is not null")
-    first = full.groupBy("fp1", "fp2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("least"))
-    reps = materialize(first.select("fp1", "fp2", "n_shingles", F.col("least.doc_id").alias("rep"), "least.bands"), "reps")
+    bits = ["bit1", "bit2", "bit3"]
+    first = full.groupBy("fp1", "fp2", "n_shingles").agg(F.min(F.struct("doc_id", *bits, "bands")).alias("least"))
+    first = first.select("fp1", "fp2", "n_shingles", F.col("least.doc_id").alias("rep"), *[f"least.{b}" for b in bits], "least.bands")
+    reps = materialize(first, "reps")
     bands = reps.select("rep", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo != hi").select("key")
-    state = materialize(bands.join(shared, "key").select("key", "rep", F.col("rep").alias("comp")), "buckets")
+    state = materialize(bands.join(shared, "key").select("key", "rep", F.lit(2).cast("long").alias("size")), "buckets")
     active = materialize(state.select(F.col("rep").alias("doc_id")).distinct(), "active")
+    facts = reps.select("rep", "n_shingles", *bits).dropDuplicates(["rep"])
+    none = [F.lit(0).cast("long").alias(m) for m in MAPS]
+    state = state.join(facts, "rep").withColumns({"comp": F.col("rep"), "common": F.col("n_shingles")}).select("*", *none)
+    state = materialize(state, "state")
+    unequal = most_unequal(percent)
+    facts = ["rep", "n_shingles", "common", *MAPS, *bits]
     n = active.count()
     sets = materialize(_among(rows, active, n).mapInArrow(_sketch(k, True), _SETS), "sets")
     # An id that is repeated with other texts is one node; any one of its texts stands for it.
     if sets.count() != n:
         sets = materialize(sets.dropDuplicates(["doc_id"]), "sets")
-    links, labels, turn = None, None, 0
+    labels, turn = None, 0
     while not state.isEmpty():
-        p = PIVOTS[min(turn, len(PIVOTS) - 1)] * 2 ** max(0, turn - len(PIVOTS) + 1)
-        order = F.xxhash64("rep", F.lit(turn))
-        drawn = state.groupBy("key", F.pmod(F.xxhash64(F.lit(-1 - turn), "rep"), F.lit(p)).alias("slot"))
-        drawn = drawn.agg(F.min(F.struct(order.alias("h"), "rep", "comp")).alias("at"))
-        pivots = drawn.select("key", F.col("at.rep").alias("pivot"), F.col("at.comp").alias("pivot_comp"))
-        pairs = state.join(pivots, "key").filter("comp != pivot_comp")
-        pairs = pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+        p = PIVOTS[min(turn, len(PIVOTS) - 1)] * 4 ** max(0, turn - len(PIVOTS) + 1)
+        slot = F.when(F.col("size") <= p, F.col("rep")).otherwise(F.pmod(F.xxhash64("rep"), F.lit(p)))
+        drawn = state.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "comp", *facts)).alias("at"))
+        pivots = drawn.select("key", *[F.col(f"at.{n}").alias(f"p_{n}") for n in ["comp", *facts]])
+        least, total = F.least("common", "p_common"), F.col("n_shingles") + F.col("p_n_shingles")
+        # Bits that only one of the two maps has count against both sides' common shingles.
+        unlike = sum((F.bit_count(F.col(m).bitwiseXOR(F.col("p_" + m))) for m in MAPS), F.lit(0))
+        shared = (F.col("common") + F.col("p_common") - unlike) / 2
+        apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"p_{b}"))) for b in bits), F.lit(0))
+        enough = lambda most: F.lit(100) * most >= F.lit(percent) * (total - most)
+        near = (F.col("comp") != F.col("p_comp")) & enough(least) & (apart <= unequal) & enough(shared)
+        pairs = state.join(pivots, "key").filter(near)
+        pairs = pairs.select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct()
         found = materialize(_linked(materialize(pairs, "pairs"), sets, percent), "found")
-        used = pivots.select("key", F.col("pivot").alias("rep"))
+        used = pivots.select("key", F.col("p_rep").alias("rep"))
         state = state.join(used, ["key", "rep"], "left_anti")
         if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
+            # Known classes go in as stars, so only the new links have to be worked through.
+            stars = None if labels is None else labels.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            labels = components(found if stars is None else found.unionByName(stars))
             state = state.drop("comp").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-            state = state.select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+            state = state.select("key", "size", F.coalesce("component", "rep").alias("comp"), *facts)
         state = materialize(_open(state), "buckets")
+        if turn == 0:
+            state = materialize(_with_shared(state, sets), "shared")
         turn += 1
     if labels is None:
         named = reps.withColumn("component", F.col("rep"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -108,7 +109,7 @@ def is_zero(v: Column) -> Column:
 
 def field_map(pairs: dict[str, Column]) -> Column:
     """A fields column from raw texts or numbers; fields that are zero are not stored."""
-    full = F.create_map(*[x for name, text in pairs.items() for x in (F.lit(name), typed(text.cast("string")))])
+    full = F.create_map(*[x for name, text in pairs.items() for x in (F.lit(name), bound(text.cast("string"), typed))])
     return F.map_filter(full, lambda _, v: ~is_zero(v))
 
 
@@ -119,6 +120,11 @@ def merge(old: Column, new: Column) -> Column:
     return F.map_filter(F.map_concat(kept, F.coalesce(new, none)), lambda _, v: ~is_zero(v))
 
 
+def bound(v: Column, use: Callable[[Column], Column]) -> Column:
+    """use(v) with v evaluated once; without it, a long expression is copied wherever its parts are looked at."""
+    return F.element_at(F.transform(F.array(v), use), 1)
+
+
 def field(name: str, fields: Column | None = None) -> Column:
     """A field's value, zero if missing; `a.b` descends into a JSON field a; `z` and `properties.x` read the geometry."""
     fields = F.col("fields") if fields is None else fields
@@ -126,13 +132,12 @@ def field(name: str, fields: Column | None = None) -> Column:
         return number(F.coalesce(F.col("z"), F.lit(0.0)))
     head, _, path = name.partition(".")
     if head == "properties":
-        text = F.get_json_object(F.col("properties"), "$." + path if path else "$")
-        return typed(text)
+        return bound(F.get_json_object(F.col("properties"), "$." + path if path else "$"), typed)
     own = fields[name]
     if not path:
         return F.coalesce(own, ZERO.column())
     inner = F.get_json_object(F.when(fields[head]["kind"] == JSON, fields[head]["data"]), "$." + path)
-    return F.coalesce(own, F.when(inner.isNotNull(), typed(inner)), ZERO.column())
+    return F.coalesce(own, bound(inner, lambda t: F.when(t.isNotNull(), typed(t))), ZERO.column())
 
 
 def field_exact(name: str) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import re
 from dataclasses import dataclass
 
@@ -25,34 +27,35 @@ def _bound(text: str) -> tuple[values.Value, bool]:
 
 def in_range(name: str, lo, hi) -> Column:
     """lo <= field <= hi; a bound that starts with `(` is out itself; +inf and -inf are open ends."""
-    v = values.field(name)
     (a, a_out), (b, b_out) = _bound(lo), _bound(hi)
     low, high = a.column(), b.column()
-    least = values.less(low, v) if a_out else ~values.less(v, low)
-    most = values.less(v, high) if b_out else ~values.less(high, v)
-    return least & most
+
+    def test(v: Column) -> Column:
+        least = values.less(low, v) if a_out else ~values.less(v, low)
+        return least & (values.less(v, high) if b_out else ~values.less(high, v))
+
+    return values.bound(values.field(name), test)
 
 
 def compare(name: str, op: str, value) -> Column:
     if op not in OPS:
         raise ValueError(f"invalid operator {op!r}")
-    v, x = values.field(name), values.parse(str(value)).column()
-    return {
-        "<": lambda: values.less(v, x),
-        "<=": lambda: ~values.less(x, v),
-        ">": lambda: values.less(x, v),
-        ">=": lambda: ~values.less(v, x),
-        "==": lambda: values.equal(v, x),
-        "!=": lambda: ~values.equal(v, x),
-    }[op]()
+    x = values.parse(str(value)).column()
+    test = {
+        "<": lambda v: values.less(v, x),
+        "<=": lambda v: ~values.less(x, v),
+        ">": lambda v: values.less(x, v),
+        ">=": lambda v: ~values.less(v, x),
+        "==": lambda v: values.equal(v, x),
+        "!=": lambda v: ~values.equal(v, x),
+    }[op]
+    return values.bound(values.field(name), test)
 
 
 def member(name: str, options: list) -> Column:
     """Equal to one of the options, each typed by itself."""
-    v, out = values.field(name), F.lit(False)
-    for x in options:
-        out = out | values.equal(v, values.parse(str(x)).column())
-    return out
+    known = [values.parse(str(x)).column() for x in options]
+    return values.bound(values.field(name), lambda v: functools.reduce(operator.or_, [values.equal(v, x) for x in known], F.lit(False)))
 
 
 # Expressions.

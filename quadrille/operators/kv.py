@@ -74,24 +74,26 @@ def fold(changes: DataFrame, now: Column | None = None) -> DataFrame:
     ended = (F.lag("command").over(by) == "del") | F.col("_dead")
     log = log.withColumn("_epoch", F.sum(F.coalesce(ended, F.lit(False)).cast("int")).over(upto))
     log = log.withColumn("_born", F.min(F.when(F.col("command") == "set", F.col("seq"))).over(Window.partitionBy("key", "id", "_epoch").orderBy("seq")))
-    last = log.groupBy("key", "id").agg(
-        F.max("_epoch").alias("_last"),
-        F.max_by("command", "seq").alias("_final"),
-        F.max_by("_until", "seq").alias("_until"),
-    )
-    lives = log.drop("_until").join(last, ["key", "id"]).filter("_epoch = _last and _final != 'del' and seq >= _born")
+    whole = Window.partitionBy("key", "id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    log = log.withColumns({
+        "_last": F.max("_epoch").over(whole), "_final": F.last("command").over(whole), "_until": F.last("_until").over(whole),
+    })
+    lives = log.filter("_epoch = _last and _final != 'del' and seq >= _born")
     lives = lives.filter(F.col("_until").isNull() | (F.col("_until") > now.cast("double")))
-    geom = lives.filter("command = 'set'").groupBy("key", "id").agg(
-        F.max_by(F.struct(*GEOMETRY_NAMES), "seq").alias("g"), F.first("_until").alias("_until")
+    # Fields and geometry are items of one list, so that one pass finds the last write of each.
+    geom, no_value = F.struct(*GEOMETRY_NAMES), F.lit(None).cast(values.TYPE)
+    item = lambda name, v, g: F.struct(name.alias("name"), v.alias("v"), g.alias("g"))
+    nowhere = F.when(F.lit(False), geom)
+    items = F.transform(F.map_entries(F.coalesce("fields", F.create_map().cast(values.FIELDS))), lambda e: item(e["key"], e["value"], nowhere))
+    place = F.array(item(F.lit(None).cast("string"), no_value, geom))
+    items = F.when(F.col("command") == "set", F.concat(items, place)).otherwise(items)
+    each = lives.select("key", "id", "seq", "_until", F.explode(items).alias("i"))
+    each = each.groupBy("key", "id", F.col("i.name").alias("name")).agg(F.max_by("i", "seq").alias("i"), F.first("_until").alias("_until"))
+    stored = F.when(F.col("name").isNotNull() & ~values.is_zero(F.col("i.v")), F.struct("name", F.col("i.v").alias("v")))
+    out = each.groupBy("key", "id").agg(
+        F.max(F.when(F.col("name").isNull(), F.col("i.g"))).alias("g"), F.array_sort(F.collect_list(stored)).alias("f"), F.first("_until").alias("_until")
     )
-    each = lives.select("key", "id", "seq", F.explode("fields").alias("name", "v"))
-    each = each.groupBy("key", "id", "name").agg(F.max_by("v", "seq").alias("v")).filter(~values.is_zero(F.col("v")))
-    fields = each.groupBy("key", "id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "v")))).alias("fields"))
-    out = geom.join(fields, ["key", "id"], "left")
-    return out.select(
-        "key", "id", "g.*", F.coalesce("fields", F.create_map().cast(values.FIELDS)).alias("fields"),
-        F.timestamp_seconds("_until").alias("expires_at"),
-    )
+    return out.select("key", "id", "g.*", F.map_from_entries("f").alias("fields"), F.timestamp_seconds("_until").alias("expires_at"))
 
 
 def upsert(objects: DataFrame, new: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ def tile(objects: DataFrame, key: str, x: int, y: int, z: int, limit: int = 100_
         own = [(i, geometry.load(g)) for i, g in zip(pdf["id"], pdf["geojson"], strict=True)]
         return pd.DataFrame({"x": [x], "y": [y], "z": [z], "mvt": [encode(own, x, y, z)]})
 
-    return rows.groupBy(F.lit(0)).applyInPandas(run, "x int, y int, z int, mvt binary")
+    return rows.withColumn("_tile", F.lit(0)).groupBy("_tile").applyInPandas(run, "x int, y int, z int, mvt binary")
 
 
 def tiles(objects: DataFrame, key: str, z: int) -> DataFrame:

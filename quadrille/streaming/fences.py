@@ -108,8 +108,18 @@ def _step(fences: list[Fence]):
     return run
 
 
+def _replay(fences: list[Fence]):
+    columns = [c.split()[0].strip("`") for c in SCHEMA.split(", ")]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        machine = _Machine(fences, None)
+        return pd.DataFrame([e for row in rows.sort_values("seq").to_dict("records") for e in machine.change(row)], columns=columns)
+
+    return run
+
+
 def stream_events(changes: DataFrame, fences: list[Fence], points_only: bool = False) -> DataFrame:
-    """Events of a streaming (or batch) change log.
+    """Events of a streaming change log; a batch one is replayed, an object's changes at a time.
 
     Whether a version is in a fence and passes its filters is computed by columns before the state is touched; the state
     of an object is a few numbers a fence. Rows of one object are taken by `seq` within a micro-batch.
@@ -124,6 +134,8 @@ def stream_events(changes: DataFrame, fences: list[Fence], points_only: bool = F
         inside = (F.col("key") == f.key) & in_area(f, points_only)
         flags.append(F.struct(F.lit(f.name).alias("hook"), F.coalesce(inside, F.lit(False)).alias("inside"), F.coalesce(passes, F.lit(False)).alias("passes")))
     rows = rows.select("seq", "ts", "command", "key", "id", "x", "y", "geojson", F.array(*flags).alias("flags"))
+    if not changes.isStreaming:
+        return rows.groupBy("key", "id").applyInPandas(_replay(fences), SCHEMA)
     return rows.groupBy("key", "id").applyInPandasWithState(_step(fences), SCHEMA, "saved string", "append", GroupStateTimeout.NoTimeout)
 
 

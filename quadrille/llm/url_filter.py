@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, small_batches
+from .common import UPPER, materialize, small_batches
 from .textbytes import LOWER, pieces, utf8, word_hashes, words
 
 #: (verdict, host, path)
@@ -70,14 +70,29 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
 
 
+def _commonest(counts: DataFrame, n: Column, size: int) -> DataFrame:
+    """Rows with the largest n, at most `size`: whole classes of nearly equal n, of which a histogram is looked at.
+
+    A top-k by sorting would send every task's k rows to the driver.
+    """
+    level = F.floor(F.log2(n) * 8)
+    cut, total = None, 0
+    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):
+        total += row["count"]
+        if total > size:
+            break
+        cut = row.level
+    return counts.filter(level >= cut) if cut is not None else counts.limit(0)
+
+
 def unigrams(texts: DataFrame, size: int = VOCABULARY) -> dict[str, float]:
     """Log probabilities of the commonest words of a one-column table, counted over all of it.
 
-    What reaches the driver is bounded by `size`; equal counts go by the word.
+    What reaches the driver is bounded by `size`.
     """
     counts = texts.mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = counts.filter((F.length("word") > 1) | F.col("word").isin("a", "i"))
-    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
+    counts = materialize(counts.filter((F.length("word") > 1) | F.col("word").isin("a", "i")), "words")
+    top = _commonest(counts, F.col("n"), size).collect()
     total = sum(r.n for r in top)
     return {r.word: math.log(r.n / total) for r in top}
 
@@ -146,9 +161,9 @@ def train(labelled: DataFrame, logs: dict[str, float], size: int = TOKENS) -> tu
     """(prior, token -> log odds of block, log odds of an unknown token) from host, path, verdict of all rows given."""
     counts = labelled.select("host", "path", "verdict").mapInArrow(_token_counts(logs), "verdict string, token string, n long")
     block, allow = (F.coalesce(F.sum(F.when(F.col("verdict") == v, F.col("n"))), F.lit(0)).alias(v) for v in ("block", "allow"))
-    table = counts.groupBy("token").agg(block, allow)
+    table = materialize(counts.groupBy("token").agg(block, allow), "tokens")
     pages = table.filter("token = ''").first()
-    top = table.filter("token != ''").orderBy(F.desc(F.col("block") + F.col("allow")), "token").limit(size).collect()
+    top = _commonest(table.filter("token != ''"), F.col("block") + F.col("allow"), size).collect()
     b, a = (sum(r[v] for r in top) + len(top) + 1 for v in ("block", "allow"))
     odds = {r.token: math.log((r.block + 1) / b) - math.log((r.allow + 1) / a) for r in top}
     prior = math.log((pages.block + 1) / (pages.allow + 1)) if pages else 0.0

@@ -55,11 +55,11 @@ def place(lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     open_: list[list[int]] = [[] for _ in range(length + 1)]
     fresh, never = 0, np.iinfo(np.int64).max
     for i, s in enumerate(lengths.tolist()):
-        # Half the change of the sum of squares, less a constant, if the piece goes into a bin of gap s, s + 1, ...
+        # The change of the sum of squares if the piece goes into a bin of gap s, s + 1, ...
         have = count[s:length]
-        change = np.where(have > 0, count[: length - s] - have + 1, never)
+        change = np.where(have > 0, 2 * (count[: length - s] - have) + 2, never)
         if s < length and have[0]:
-            change[0] = -have[0]
+            change[0] = 1 - 2 * have[0]
         best = int(change.argmin()) if s < length else 0
         if s < length and change[best] < never:
             gap = s + best

@@ -50,10 +50,11 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of df that stay, with their columns as they were; one row where a row is repeated.
+    """The rows of df that stay, with their columns as they were.
 
-    A row with a null id stays only if no equal text has an id.
+    Rows that repeat an id and text are one document and stay together. A row with a null id stays only if no equal text
+    has an id.
     """
-    kept = classes(df, id_col, text_col, salts).filter("kept").select(F.col(id_col).alias("_keep")).distinct()
-    out = df.join(kept, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
-    return out
+    name = "__quadrille_keep"
+    kept = classes(df, id_col, text_col, salts).filter("kept").select(F.col(id_col).alias(name)).distinct()
+    return df.join(kept, df[id_col].eqNullSafe(kept[name]), "left_semi")

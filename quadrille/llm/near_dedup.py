@@ -283,5 +283,6 @@ def classes(df: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
 
 def deduplicate(df: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of df that stay, one document of each class, with their columns as they were."""
-    gone = classes(df, k, percent).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = "__quadrille_gone"
+    gone = classes(df, k, percent).filter("not kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    return df.join(gone, df["doc_id"] == gone[name], "left_anti")

@@ -130,9 +130,10 @@ def mix(
 def mixed(df: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     """The rows of df as often as the mix takes them, with their columns as they were.
 
-    Rows that repeat an id get that id's copies in all, divided among them by dropping the surplus.
+    Rows that repeat an id are each taken as often as they are on average, rounded up.
     """
-    copies = mix(df, id_col, **kw).groupBy(id_col).agg(F.avg("copies").alias("_copies"))
-    copies = copies.filter("_copies > 0").select(F.col(id_col).alias("_taken_id"), F.ceil("_copies").cast("int").alias("_copies"))
-    out = df.join(copies, F.col(id_col).eqNullSafe(F.col("_taken_id")))
-    return out.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[df[c] for c in df.columns])
+    name, count = "__quadrille_taken", "__quadrille_copies"
+    copies = mix(df, id_col, **kw).groupBy(id_col).agg(F.avg("copies").alias(count)).filter(F.col(count) > 0)
+    copies = copies.select(F.col(id_col).alias(name), F.sequence(F.lit(1), F.ceil(count).cast("int")).alias(count))
+    out = df.join(copies, df[id_col].eqNullSafe(copies[name]))
+    return out.withColumn(count, F.explode(count)).select(*[df[c] for c in df.columns])

@@ -56,5 +56,8 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     has an id.
     """
     name = "__quadrille_keep"
-    kept = classes(df, id_col, text_col, salts).filter("kept").select(F.col(id_col).alias(name)).distinct()
-    return df.join(kept, df[id_col].eqNullSafe(kept[name]), "left_semi")
+    digest = F.sha2(ascii_lower(F.coalesce(df[text_col], F.lit(""))), 256)
+    own = F.when(df[id_col].isNull(), F.concat(F.lit("text "), digest)).otherwise(df[id_col].cast("string"))
+    rows = classes(df, id_col, text_col, salts).filter("kept")
+    kept = rows.select(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), "text_sha256")).alias(name)).distinct()
+    return df.join(kept, own == kept[name], "left_semi")

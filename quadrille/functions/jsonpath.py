@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..plans.session import ship
+
 _NUMBER = re.compile(r"-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?")
 
 
@@ -121,6 +123,8 @@ def get_column(text: Column, path: str) -> Column:
 
 
 def put_column(text: Column, path: str, value: str, kind: str | None = None) -> Column:
+    ship()
+
     @F.pandas_udf("string")
     def run(t: pd.Series) -> pd.Series:
         return t.map(lambda x: put(x, path, value, kind))
@@ -129,6 +133,8 @@ def put_column(text: Column, path: str, value: str, kind: str | None = None) ->
 
 
 def remove_column(text: Column, path: str) -> Column:
+    ship()
+
     @F.pandas_udf("string")
     def run(t: pd.Series) -> pd.Series:
         return t.map(lambda x: None if x is None else remove(x, path)[0])

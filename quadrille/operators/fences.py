@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, geometry, globs
+from ..plans.session import ship
 from ..plans.spec import Area, Where
 from .search import condition, point_test
 
@@ -157,6 +158,7 @@ def events(changes: DataFrame, fences: list[Fence], points_only: bool = False) -
     A change row must hold the object's whole new version (`fields` folded). The log is ordered once per object and the
     fences share that order; each fence adds columns, not a shuffle. Roaming fences go through `roam`.
     """
+    ship(changes.sparkSession)
     out = None
     by = Window.partitionBy("key", "id").orderBy("seq")
     spatial = changes.filter("kind is null or kind != 'string'")
@@ -176,7 +178,8 @@ def events(changes: DataFrame, fences: list[Fence], points_only: bool = False) -
         moved = is_set & F.col("_ox").isNotNull() & ~filtered
         wants_cross = f.detect is None or bool({"cross", "outside"} & set(f.detect))
         crossed = moved & _crosses(f) if wants_cross else F.lit(False)
-        detect = detection(old, F.col("_in") & F.col("_pass"), F.col("command"), F.col("_pass"), crossed)
+        written = ~F.col("command").isin("del", "drop")
+        detect = F.when(written, detection(old, F.col("_in") & F.col("_pass"), F.col("command"), F.col("_pass"), crossed))
         names = requested(detect, f.detect)
         names = F.when(F.col("command") == "del", F.array(F.lit("del"))).when(F.col("command") == "drop", F.array(F.lit("drop"))).otherwise(names)
         kept = globs.any_match(F.col("id"), f.match) | (F.col("command") == "drop")

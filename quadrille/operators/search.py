@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, geometry, globs, values, where
+from ..plans.session import ship
 from ..plans.spec import UNLIMITED, Area, Search, Where
 
 
@@ -41,6 +42,7 @@ def _all(conditions: list[Column]) -> Column:
 
 def _evaluated(test: Callable[[pd.DataFrame], pd.Series]) -> Column:
     """A Python predicate over id, fields and properties, in batches."""
+    ship()
 
     @F.pandas_udf("boolean")
     def run(id_: pd.Series, fields: pd.Series, properties: pd.Series) -> pd.Series:
@@ -60,6 +62,7 @@ def _overlaps(box: tuple | None) -> Column:
 
 
 def _points_kernel(area: Area):
+    ship()
     areas = [c for k, c in area.parts if k == "A"]
     rest = [p for p in area.parts if p[0] != "A"]
 
@@ -77,6 +80,7 @@ def _points_kernel(area: Area):
 
 
 def _shapes_kernel(area: Area, inside: bool):
+    ship()
     test = geometry.within if inside else geometry.intersects
     parts = area.parts
 
@@ -237,6 +241,7 @@ def compile(spec: Search, objects: DataFrame) -> Result:
 
 
 def _clip_kernel(area: Area):
+    ship()
     box = area.bbox
 
     @F.pandas_udf("string")

@@ -12,8 +12,11 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
-def ship(spark: SparkSession) -> None:
+def ship(spark: SparkSession | None = None) -> None:
     """Send this package to the executors, once an application, so that workers can import it wherever they run."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

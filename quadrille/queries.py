@@ -239,8 +239,22 @@ HOLED = {"type": "Polygon", "coordinates": [TRIANGLE["coordinates"][0], [[-20.05
 query("within_polygon_hole", f"WITH {FLEET_SQL} SELECT id FROM fleet WHERE {_half_planes(TRIANGLE['coordinates'][0])} AND NOT (lat > 0.05 AND lat < 20.05 AND lon > -20.05 AND lon < 10.05)")(
     _area("within", lambda: S.geojson(HOLED))
 )
-query("within_sector")(_area("within", lambda: S.sector(10, 20, 3000000, 30, 120)))
-query("intersects_buffer")(_area("intersects", lambda: S.buffered(S.geojson({"type": "LineString", "coordinates": [[-100, 10], [-20, 40], [60, 30]]}), 300000)))
+
+
+def _convex_sql(area: S.Area) -> str:
+    """Points in any of an area's parts, each of them convex."""
+    tests = []
+    for _, rings in area.parts:
+        ring = rings[0]
+        turn = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False))
+        tests.append(f"({_half_planes(ring if turn > 0 else ring[::-1])})")
+    return f"WITH {FLEET_SQL} SELECT id FROM fleet WHERE {' OR '.join(tests)}"
+
+
+SECTOR = S.sector(10, 20, 3000000, 30, 120)
+WAY = S.buffered(S.geojson({"type": "LineString", "coordinates": [[-100, 10], [-20, 40], [60, 30]]}), 300000)
+query("within_sector", _convex_sql(SECTOR))(_area("within", lambda: SECTOR))
+query("intersects_buffer", _convex_sql(WAY))(_area("intersects", lambda: WAY))
 
 
 @query("area_get", f"""WITH {FLEET_SQL}, c AS (SELECT lat AS clat, lon AS clon FROM fleet WHERE id = 'e17') SELECT id FROM fleet, c WHERE lat = clat AND lon = clon""")
@@ -472,6 +486,16 @@ d AS (SELECT *, CASE WHEN command = 'del' THEN 'del' WHEN command = 'set' AND co
   WHEN command = 'set' AND coalesce(was, false) THEN 'exit' WHEN now AND command = 'fset' THEN 'inside' WHEN now THEN 'enter' ELSE 'outside' END AS found FROM v)"""
 
 
+#: Where the way between two outside versions enters and leaves the box, as shares of the way.
+_CROSS_SQL = f"""{_FENCE_SQL},
+o AS (SELECT *, lag(CASE WHEN command <> 'del' THEN lat END) OVER w AS olat, lag(CASE WHEN command <> 'del' THEN lon END) OVER w AS olon
+      FROM d WINDOW w AS (PARTITION BY id ORDER BY seq)),
+t AS (SELECT *, ({FENCE[0]} - olat) / nullif(lat - olat, 0) AS a, ({FENCE[2]} - olat) / nullif(lat - olat, 0) AS b,
+        ({FENCE[1]} - olon) / nullif(lon - olon, 0) AS c, ({FENCE[3]} - olon) / nullif(lon - olon, 0) AS e FROM o),
+x AS (SELECT *, CASE WHEN found = 'outside' AND command = 'set' AND olat IS NOT NULL
+        AND greatest(0.0, least(a, b), least(c, e)) <= least(1.0, greatest(a, b), greatest(c, e)) THEN 'cross' ELSE found END AS last FROM t)"""
+
+
 def _fence(**kw) -> fences.Fence:
     return fences.Fence("box", "fleet", S.bounds(*FENCE), **kw)
 
@@ -501,13 +525,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return fences.events(log(spark, sf), two, True).select("seq", "hook", "id", "rank", "detect", "group")
 
 
-@query("fence_cross")
+@query("fence_cross", f"WITH {_CROSS_SQL} SELECT seq, id, last AS detect FROM x WHERE last = 'cross'")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     ship(spark)
     return fences.events(log(spark, sf), [_fence(detect=["cross"])], True).filter("detect = 'cross'").select("seq", "id", "detect")
 
 
-@query("fence_stream_replay")
+@query("fence_stream_replay", f"""WITH {_CROSS_SQL} SELECT seq, 'box' AS hook, id, 0 AS rank, CASE WHEN last <> 'del' THEN last END AS detect FROM x
+UNION ALL SELECT seq, 'box', id, 1, CASE last WHEN 'enter' THEN 'inside' ELSE 'outside' END FROM x WHERE last IN ('enter', 'exit', 'cross')""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return stream.stream_events(log(spark, sf), [_fence()], True).select("seq", "hook", "id", "rank", "detect")
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, geometry, values
+from ..plans.session import ship
 
 GEOMETRY = (
     "kind string, gtype string, x double, y double, z double, minx double, miny double, maxx double, maxy double, "
@@ -90,6 +91,7 @@ def geometry_row(text: str | dict | None) -> tuple:
 
 def parse_geojson(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """The columns in `keep` and the geometry columns of a GeoJSON column."""
+    ship(df.sparkSession)
     rows = df.select(*keep, F.col(text).cast("string").alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(_parse, f"{fields}, {GEOMETRY}")

@@ -103,7 +103,8 @@ def _step(fences: list[Fence]):
         rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
         out = [e for row in rows.to_dict("records") for e in machine.change(row)]
         state.update((machine.saved(),))
-        yield pd.DataFrame(out, columns=columns)
+        if out:
+            yield pd.DataFrame(out, columns=columns)
 
     return run
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import bound, digits, shifted
+
 #: Metres.
 EARTH = 6371000.0
 MIN_LAT, MAX_LAT, MIN_LON, MAX_LON = -85.05112878, 85.05112878, -180.0, 180.0
@@ -115,11 +117,12 @@ def tile_columns(lat: Column, lon: Column, level: int) -> tuple[Column, Column]:
 def quadkey_column(lat: Column, lon: Column, level: int) -> Column:
     """One base-4 digit a level, from the coarsest."""
     x, y = tile_columns(lat, lon, level)
-    digits = [
-        (F.shiftright(x, i).bitwiseAND(F.lit(1)) + 2 * F.shiftright(y, i).bitwiseAND(F.lit(1))).cast("string")
-        for i in range(level - 1, -1, -1)
-    ]
-    return F.concat(*digits) if digits else F.lit("")
+
+    def key(t: Column) -> Column:
+        bit = lambda v, i: shifted(v, F.lit(level - 1) - i).bitwiseAND(F.lit(1))
+        return digits(level, lambda i: (bit(t["x"], i) + 2 * bit(t["y"], i)).cast("string"))
+
+    return bound(F.struct(x.alias("x"), y.alias("y")), key)
 
 
 def pixel(lat: float, lon: float, level: int) -> tuple[int, int]:
@@ -187,16 +190,20 @@ def geohash_column(lat: Column, lon: Column, precision: int) -> Column:
         whole = F.floor((v - lo) / (-2 * lo) * float(1 << n)).cast("long")
         return F.greatest(F.lit(0), F.least(F.lit((1 << n) - 1), whole))
 
-    x, y = cell(lon, -180.0, n_lon), cell(lat, -90.0, n_lat)
-    digits = []
-    for i in range(precision):
-        value = F.lit(0)
-        for b in range(5):
-            at = 5 * i + b
-            v, n = (x, n_lon) if at % 2 == 0 else (y, n_lat)
-            value = value + F.shiftright(v, n - 1 - at // 2).bitwiseAND(F.lit(1)) * (16 >> b)
-        digits.append(F.substr(F.lit(GEOHASH), (value + 1).cast("int"), F.lit(1)))
-    return F.concat(*digits)
+    def text(t: Column) -> Column:
+        def digit(i: Column) -> Column:
+            value = F.lit(0)
+            for b in range(5):
+                # Even bits, counted from the first, are of the longitude.
+                at = 5 * i + b
+                east = shifted(t["x"], F.lit(n_lon - 1) - shifted(at, F.lit(1)))
+                north = shifted(t["y"], F.lit(n_lat - 1) - shifted(at, F.lit(1)))
+                value = value + F.when(at % 2 == 0, east).otherwise(north).bitwiseAND(F.lit(1)) * (16 >> b)
+            return F.substr(F.lit(GEOHASH), (value + 1).cast("int"), F.lit(1))
+
+        return digits(precision, digit)
+
+    return bound(F.struct(cell(lon, -180.0, n_lon).alias("x"), cell(lat, -90.0, n_lat).alias("y")), text)
 
 
 def geohash(lat: float, lon: float, precision: int) -> str:

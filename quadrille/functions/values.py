@@ -5,16 +5,19 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import bound
+
 NULL, FALSE, NUMBER, STRING, TRUE, JSON = range(6)
 TYPE = "struct<kind:int,num:double,data:string>"
 FIELDS = f"map<string,{TYPE}>"
 
+#: How anything but a plain string begins.
+_MAYBE = r'^[-+0-9nNiItf{\["]'
 _NUMBER = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 #: Spellings of numbers that JSON doesn't have.
 _ODD = {"nan": "NaN", "+nan": "NaN", "-nan": "NaN", "inf": "+Inf", "+inf": "+Inf", "infinity": "+Inf", "+infinity": "+Inf", "-inf": "-Inf", "-infinity": "-Inf"}
@@ -72,6 +75,7 @@ def typed(text: Column) -> Column:
     quoted = F.when(t.rlike('(?s)^".*"$'), F.get_json_object(F.concat(F.lit('{"a":'), t, F.lit("}")), "$.a"))
     return (
         F.when(t.isNull(), ZERO.column())
+        .when(~t.rlike(_MAYBE), _make(STRING, 0.0, t))
         .when(odd.isNotNull(), _make(NUMBER, num, odd))
         .when(t.rlike(_NUMBER), _make(NUMBER, t.try_cast("double"), t))
         .when(t == "null", _make(NULL, 0.0, t))
@@ -84,7 +88,11 @@ def typed(text: Column) -> Column:
 
 
 def number(x: Column) -> Column:
-    return _make(NUMBER, x, x.cast("string"))
+    """A number's value; null is the zero that a missing field reads as."""
+    x = F.coalesce(x.cast("double"), F.lit(0.0))
+    whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
+    text = F.when(whole, x.cast("long").cast("string")).when(F.isnan(x), "NaN").when(F.abs(x) == math.inf, F.when(x > 0, "+Inf").otherwise("-Inf"))
+    return _make(NUMBER, x, text.otherwise(x.cast("string")))
 
 
 def less(a: Column, b: Column) -> Column:
@@ -107,9 +115,9 @@ def is_zero(v: Column) -> Column:
     return (v["kind"] == NUMBER) & (v["num"] == 0)
 
 
-def field_map(pairs: dict[str, Column]) -> Column:
-    """A fields column from raw texts or numbers; fields that are zero are not stored."""
-    full = F.create_map(*[x for name, text in pairs.items() for x in (F.lit(name), bound(text.cast("string"), typed))])
+def field_map(pairs: dict[str, Column], numeric: frozenset[str] | set[str] = frozenset()) -> Column:
+    """A fields column from raw texts, or for names in `numeric` from number columns; fields that are zero are not stored."""
+    full = F.create_map(*[x for name, v in pairs.items() for x in (F.lit(name), number(v) if name in numeric else bound(v.cast("string"), typed))])
     return F.map_filter(full, lambda _, v: ~is_zero(v))
 
 
@@ -120,11 +128,6 @@ def merge(old: Column, new: Column) -> Column:
     return F.map_filter(F.map_concat(kept, F.coalesce(new, none)), lambda _, v: ~is_zero(v))
 
 
-def bound(v: Column, use: Callable[[Column], Column]) -> Column:
-    """use(v) with v evaluated once; without it, a long expression is copied wherever its parts are looked at."""
-    return F.element_at(F.transform(F.array(v), use), 1)
-
-
 def field(name: str, fields: Column | None = None) -> Column:
     """A field's value, zero if missing; `a.b` descends into a JSON field a; `z` and `properties.x` read the geometry."""
     fields = F.col("fields") if fields is None else fields

@@ -55,7 +55,7 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     command = F.when(e % 10 == 9, "del").when(e % 7 == 3, "fset").otherwise("set")
     # A field of value 0 deletes: every fifth event writes speed 0.
-    fields = values.field_map({"value": F.col("value"), "event_type": F.col("event_type")})
+    fields = values.field_map({"value": F.col("value"), "event_type": F.col("event_type")}, {"value"})
     speed = values.typed(F.when(e % 5 == 0, "0").otherwise((e % 5).cast("string")))
     fields = F.map_concat(fields, F.create_map(F.lit("speed"), speed))
     id_ = F.concat(F.lit("u"), F.col("user_id").cast("string"))

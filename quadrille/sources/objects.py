@@ -113,7 +113,9 @@ def bounds_geometry(minlat: Column, minlon: Column, maxlat: Column, maxlon: Colu
 
 def objects(key: Column, id_: Column, geom: list[Column], df: DataFrame, fields: dict[str, Column] | None = None) -> DataFrame:
     """An object table from any table: which columns are key, id, geometry and fields."""
-    own = values.field_map(fields) if fields else F.create_map().cast(values.FIELDS)
+    kinds = dict(df.select(*[c.alias(n) for n, c in (fields or {}).items()]).dtypes) if fields else {}
+    numeric = {n for n, k in kinds.items() if k in ("double", "float", "int", "bigint", "smallint", "tinyint")}
+    own = values.field_map(fields, numeric) if fields else F.create_map().cast(values.FIELDS)
     return df.select(
         key.cast("string").alias("key"), id_.cast("string").alias("id"), *geom, own.alias("fields"), _null("timestamp").alias("expires_at")
     )

@@ -31,9 +31,16 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a temporary folder of its own; a cluster, whose machines don't share one,
+    is refused.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quadrille-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -117,7 +118,7 @@ def is_zero(v: Column) -> Column:
 
 def field_map(pairs: dict[str, Column], numeric: frozenset[str] | set[str] = frozenset()) -> Column:
     """A fields column from raw texts, or for names in `numeric` from number columns; fields that are zero are not stored."""
-    full = F.create_map(*[x for name, v in pairs.items() for x in (F.lit(name), number(v) if name in numeric else bound(v.cast("string"), typed))])
+    full = F.create_map(*[x for name, v in pairs.items() for x in (F.lit(name), number(v) if name in numeric else typed(v.cast("string")))])
     return F.map_filter(full, lambda _, v: ~is_zero(v))
 
 
@@ -148,6 +149,11 @@ def field_exact(name: str) -> Column:
     return F.coalesce(F.col("fields")[name], ZERO.column())
 
 
+def tested(name: str, test: Callable[[Column], Column]) -> Column:
+    """test(field). A stored field is looked up where it is used, in generated code; a path into JSON is read once."""
+    return bound(field(name), test) if "." in name else test(field(name))
+
+
 def to_json(v: Column) -> Column:
     """A value as JSON text; infinities and NaN are strings there."""
     quoted = F.concat(F.lit('"'), v["data"], F.lit('"'))

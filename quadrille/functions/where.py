@@ -12,7 +12,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import globs, values
-from .columns import bound
 
 OPS = ("<", "<=", ">", ">=", "==", "!=")
 
@@ -35,7 +34,7 @@ def in_range(name: str, lo, hi) -> Column:
         least = values.less(low, v) if a_out else ~values.less(v, low)
         return least & (values.less(v, high) if b_out else ~values.less(high, v))
 
-    return bound(values.field(name), test)
+    return values.tested(name, test)
 
 
 def compare(name: str, op: str, value) -> Column:
@@ -50,13 +49,13 @@ def compare(name: str, op: str, value) -> Column:
         "==": lambda v: values.equal(v, x),
         "!=": lambda v: ~values.equal(v, x),
     }[op]
-    return bound(values.field(name), test)
+    return values.tested(name, test)
 
 
 def member(name: str, options: list) -> Column:
     """Equal to one of the options, each typed by itself."""
     known = [values.parse(str(x)).column() for x in options]
-    return bound(values.field(name), lambda v: functools.reduce(operator.or_, [values.equal(v, x) for x in known], F.lit(False)))
+    return values.tested(name, lambda v: functools.reduce(operator.or_, [values.equal(v, x) for x in known], F.lit(False)))
 
 
 # Expressions.

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import geometry, globs
@@ -150,3 +151,9 @@ def messages(events: DataFrame, fences: list[Fence]) -> DataFrame:
         texts = F.create_map(*[F.lit(x) for k, v in meta.items() for x in (k, json.dumps(v))])
         parts.append(F.coalesce(F.concat(F.lit(',"meta":'), texts[F.col("hook")]), F.lit("")))
     return events.select("hook", "key", "id", "seq", "detect", F.concat(*parts, F.lit("}")).alias("message"))
+
+
+def live_fence(changes: DataFrame, fence: Fence, name: str, checkpoint: str, points_only: bool = False) -> StreamingQuery:
+    """A running query whose events collect in the in-memory table `name`, as one client's subscription."""
+    rows = stream_events(changes, [fence], points_only)
+    return rows.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode("append").start()

@@ -10,6 +10,7 @@ from quadrille import queries
 from quadrille.operators import fences, kv, mvt, roam
 from quadrille.operators.search import compile
 from quadrille.plans import spec as S
+from quadrille.sources import commandlog
 from quadrille.sources import objects as src
 from quadrille.streaming import fences as stream
 from quadrille.streaming import sinks
@@ -182,3 +183,36 @@ def test_pruned_scan(spark, sf, tmp_path):
     df = compile(S.Search("within", "fleet", area=S.bounds(10, 10, 20, 20), points_only=True), spark.read.parquet(f"{tmp_path}/t")).df.select("id")
     plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "GreaterThanOrEqual(maxx,10.0)" in plan and "PartitionFilters: [isnotnull(key" in plan and "geojson" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_command_log(spark, tmp_path):
+    commands = [
+        "SET fleet a FIELD speed 5 POINT 10 20".split(), "SET fleet b BOUNDS 1 2 3 4".split(), "SET fleet c STRING hello".split(),
+        "FSET fleet a speed 0 x 7".split(), "SET fleet d OBJECT".split() + ['{"type":"LineString","coordinates":[[1,2],[3,4]]}'],
+        "SET fleet e HASH 9my5xp7".split(), "DEL fleet e".split(), "PUBLISH chan hi".split(), "PDEL fleet b*".split(), "SET other z POINT 1 1".split(),
+        "DROP other".split(), "SET fleet old EX 5 POINT 1 1".split(),
+    ]
+    data = commandlog.write(commands)
+    assert list(commandlog.read(b"\0\0" + data + b"\0" + data[:37])) == commands + list(commandlog.read(data[:37]))
+    with pytest.raises(commandlog.BadLog):
+        list(commandlog.read(b"*1\r\n+x"))
+    half = len(commandlog.write(commands[:5]))
+    (tmp_path / "1.log").write_bytes(data[:half])
+    (tmp_path / "2.log").write_bytes(data[half:] + b"*3\r\n$3\r\nSE")
+    rows = commandlog.changes(commandlog.read_files(spark, str(tmp_path)))
+    assert rows.count() == len(commands) - 1
+    objects = {r.id: r for r in kv.fold(rows, F.current_timestamp() + F.expr("interval 60 seconds")).collect()}
+    assert set(objects) == {"a", "c", "d"}
+    assert {k: v.data for k, v in objects["a"].fields.items()} == {"x": "7"} and objects["a"].x == 20
+    assert objects["c"].value == "hello" and objects["d"].gtype == "LineString"
+
+
+def test_live_fence(spark, sf, tmp_path):
+    log = queries.log(spark, sf).limit(200)
+    log.coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(log.schema).parquet(f"{tmp_path}/in")
+    f = fences.Fence("box", "fleet", S.bounds(*queries.FENCE), detect=["enter"])
+    q = stream.live_fence(source, f, "live_box", f"{tmp_path}/c", True)
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("live_box").filter("detect = 'enter'").count() == fences.events(spark.read.parquet(f"{tmp_path}/in"), [f], True).filter("detect = 'enter'").count()

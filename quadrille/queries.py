@@ -284,7 +284,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("clip_output")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    spec = Search("intersects", "fleet", area=S.bounds(*BOX), clip=True, limit=100, points_only=False)
+    spec = Search("intersects", "fleet", area=S.bounds(*BOX), clip=True, limit=S.UNLIMITED)
     ship(spark)
     return ops.compile(spec, fleet(spark, sf)).df.select("id", "geojson")
 
@@ -551,9 +551,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return fences.join_many(fleet(spark, sf), rows).select("hook", "id")
 
 
-# Roaming: the first 30 users move among each other.
+# Roaming: all users move among each other.
 
-_ROAM_SQL = f"""{LOG_SQL.replace('FROM events)', 'FROM events WHERE user_id < 30)')},
+_ROAM_SQL = f"""{LOG_SQL},
 w AS (SELECT *, lead(seq) OVER (PARTITION BY id ORDER BY seq) AS until, lag(command) OVER (PARTITION BY id ORDER BY seq) AS prev,
         lag(lat) OVER (PARTITION BY id ORDER BY seq) AS olat, lag(lon) OVER (PARTITION BY id ORDER BY seq) AS olon FROM log WHERE command <> 'fset'),
 m AS (SELECT a.seq, a.id, b.id AS other, b.lat, b.lon, a.lat AS alat, a.lon AS alon,
@@ -566,8 +566,7 @@ n AS (SELECT *, round({HAVERSINE.format(lat='alat', lon='alon')}, 1) AS meters F
 
 
 def _roam(spark: SparkSession, sf: str, **kw) -> DataFrame:
-    rows = log(spark, sf).filter(F.substring("id", 2, 20).cast("long") < 30)
-    return roam.roam(rows, "fleet", "fleet", "*", 1500000, **kw)
+    return roam.roam(log(spark, sf), "fleet", "fleet", "*", 1500000, **kw)
 
 
 @query("roam_nearby", f"WITH {_ROAM_SQL} SELECT seq, id, other, meters FROM n WHERE now")

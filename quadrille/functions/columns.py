@@ -11,12 +11,3 @@ from pyspark.sql import functions as F
 def bound(v: Column, use: Callable[[Column], Column]) -> Column:
     """use(v) with v evaluated once; without it, a long expression is copied wherever its parts are looked at."""
     return F.element_at(F.transform(F.array(v), use), 1)
-
-
-def digits(n: int, digit: Callable[[Column], Column]) -> Column:
-    """The concatenation of digit(i) for i from 0 to n - 1, as one short expression."""
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), digit), "") if n else F.lit("")
-
-
-def shifted(v: Column, n: Column) -> Column:
-    return F.call_function("shiftright", v, n)

@@ -7,13 +7,12 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import bound, digits, shifted
-
 #: Metres.
 EARTH = 6371000.0
 MIN_LAT, MAX_LAT, MIN_LON, MAX_LON = -85.05112878, 85.05112878, -180.0, 180.0
 #: Fixed value: the digits of geohashes.
 GEOHASH = "0123456789bcdefghjkmnpqrstuvwxyz"
+_BASE32 = [str(i) if i < 10 else chr(55 + i) for i in range(32)]
 
 
 def _arc(lat1, lon1, lat2, lon2) -> Column:
@@ -117,12 +116,12 @@ def tile_columns(lat: Column, lon: Column, level: int) -> tuple[Column, Column]:
 def quadkey_column(lat: Column, lon: Column, level: int) -> Column:
     """One base-4 digit a level, from the coarsest."""
     x, y = tile_columns(lat, lon, level)
+    return F.lpad(F.conv((_spread(x) + 2 * _spread(y)).cast("string"), 10, 4), level, "0") if level else F.lit("")
 
-    def key(t: Column) -> Column:
-        bit = lambda v, i: shifted(v, F.lit(level - 1) - i).bitwiseAND(F.lit(1))
-        return digits(level, lambda i: (bit(t["x"], i) + 2 * bit(t["y"], i)).cast("string"))
 
-    return bound(F.struct(x.alias("x"), y.alias("y")), key)
+def _spread(v: Column) -> Column:
+    """A number's bits with a zero bit between neighbours: its binary digits read as base 4."""
+    return F.conv(F.bin(v), 4, 10).cast("long")
 
 
 def pixel(lat: float, lon: float, level: int) -> tuple[int, int]:
@@ -190,20 +189,11 @@ def geohash_column(lat: Column, lon: Column, precision: int) -> Column:
         whole = F.floor((v - lo) / (-2 * lo) * float(1 << n)).cast("long")
         return F.greatest(F.lit(0), F.least(F.lit((1 << n) - 1), whole))
 
-    def text(t: Column) -> Column:
-        def digit(i: Column) -> Column:
-            value = F.lit(0)
-            for b in range(5):
-                # Even bits, counted from the first, are of the longitude.
-                at = 5 * i + b
-                east = shifted(t["x"], F.lit(n_lon - 1) - shifted(at, F.lit(1)))
-                north = shifted(t["y"], F.lit(n_lat - 1) - shifted(at, F.lit(1)))
-                value = value + F.when(at % 2 == 0, east).otherwise(north).bitwiseAND(F.lit(1)) * (16 >> b)
-            return F.substr(F.lit(GEOHASH), (value + 1).cast("int"), F.lit(1))
-
-        return digits(precision, digit)
-
-    return bound(F.struct(cell(lon, -180.0, n_lon).alias("x"), cell(lat, -90.0, n_lat).alias("y")), text)
+    x, y = _spread(cell(lon, -180.0, n_lon)), _spread(cell(lat, -90.0, n_lat))
+    # Longitude has the first bit, so it has the last one if their number is odd.
+    mixed = x + 2 * y if bits % 2 else 2 * x + y
+    text = F.lpad(F.conv(mixed.cast("string"), 10, 32), precision, "0")
+    return F.translate(text, "".join(_BASE32), GEOHASH)
 
 
 def geohash(lat: float, lon: float, precision: int) -> str:

@@ -216,3 +216,18 @@ def test_live_fence(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("live_box").filter("detect = 'enter'").count() == fences.events(spark.read.parquet(f"{tmp_path}/in"), [f], True).filter("detect = 'enter'").count()
+
+
+#: Longitudes of two cars on one parallel, turn by turn, and what their moves report within 1000 m.
+PARALLEL = 33.414750027566235
+CAR1 = [-111.93669319152832, -111.93051338195801, -111.92416191101074, -111.91789627075195, -111.9111156463623, -111.90510749816895, -111.89746856689453]
+CAR2 = [-111.89746856689453, -111.90519332885742, -111.91154479980467, -111.91781044006346, -111.92416191101074, -111.93059921264648, -111.93660736083984]
+REPORTS = [("car1", "nearby", "car2", 589.512), ("car2", "nearby", "car1", 7.966), ("car1", "nearby", "car2", 621.377), ("car2", "faraway", "car1", 1210.89)]
+
+
+def test_roam_reports(spark):
+    moves = [x for pair in zip([("car1", x) for x in CAR1], [("car2", x) for x in CAR2], strict=True) for x in pair]
+    df = spark.createDataFrame([(i, c, x) for i, (c, x) in enumerate(moves)], "seq long, id string, lon double")
+    log = df.select("seq", F.current_timestamp().alias("ts"), F.lit("set").alias("command"), F.lit("cars").alias("key"), "id", *src.point_geometry(F.lit(PARALLEL), F.col("lon")))
+    got = roam.roam(log, "cars", "cars", "*", 1000).orderBy("seq").collect()
+    assert [(r.id, r.kind, r.other, r.meters) for r in got] == REPORTS

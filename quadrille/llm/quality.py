@@ -152,8 +152,11 @@ def train(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     """
     small_batches(df.sparkSession)
     known = labels.filter("quality is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("label"))
+    # First by a share of the ids, so that no task hands on more than a little over its part of the sample.
+    scale, place = 1 << 30, F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
+    share = min(1.0, 1.5 * sample / max(1, known.count()))
     # Bounded by `sample`, so it is broadcast.
-    chosen = known.orderBy(F.xxhash64("_id"), "_id", "label").limit(sample)
+    chosen = known.filter(place < int(scale * share)).orderBy(place, "_id", "label").limit(sample)
     rows = df.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("label", "text")
     found = sorted((r.label, bytes(r.x)) for r in rows.mapInArrow(_features, "label int, x binary").collect())
     if not found:

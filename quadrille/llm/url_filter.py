@@ -7,7 +7,7 @@ the words of all pages; the class counts from all pages that a rule decides.
 from __future__ import annotations
 
 import math
-from collections import Counter
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +26,10 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-#: Most words of the unigram model and tokens of the class model; the rarest go. Both models are broadcast.
-VOCABULARY, TOKENS = 50_000, 50_000
+#: Most tokens of the class model; the rarest go. It is broadcast.
+TOKENS = 50_000
+#: About so many pages, and letters of distinct runs, are worked on at once, each lot with the part of a model it needs.
+SHARD, LETTERS = 1 << 10, 1 << 16
 LONGEST = 24
 THRESHOLD = 0.5
 
@@ -85,24 +87,21 @@ def _commonest(counts: DataFrame, n: Column, size: int) -> DataFrame:
     return counts.filter(level >= cut) if cut is not None else counts.limit(0)
 
 
-def unigrams(texts: DataFrame, size: int = VOCABULARY) -> dict[str, float]:
-    """Log probabilities of the commonest words of a one-column table, counted over all of it.
-
-    What reaches the driver is bounded by `size`.
-    """
+def unigrams(texts: DataFrame) -> tuple[DataFrame, int, int]:
+    """(table of word and n, sum of n, least n) of all words of a one-column table."""
     counts = texts.mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialize(counts.filter((F.length("word") > 1) | F.col("word").isin("a", "i")), "words")
-    top = _commonest(counts, F.col("n"), size).collect()
-    total = sum(r.n for r in top)
-    return {r.word: math.log(r.n / total) for r in top}
+    found = counts.agg(F.sum("n").alias("total"), F.min("n").alias("least")).first()
+    return counts, found.total or 1, found.least or 1
 
 
-def segment(text: str, logs: dict[str, float], longest: int = LONGEST) -> list[str]:
+def segment(text: str, logs: dict[str, float], longest: int = LONGEST, least: float | None = None) -> list[str]:
     """The likeliest split of a run of letters; a word out of the model costs more the longer it is.
 
-    Linear in the text's length. Equal scores: the shorter last word. Empty text: no words.
+    `least` is the whole model's least value where logs is a part. Linear in the text's length. Equal scores: the shorter
+    last word. Empty text: no words.
     """
-    floor = min(logs.values(), default=0.0) - math.log(10)
+    floor = (min(logs.values(), default=0.0) if least is None else least) - math.log(10)
     best, cut = [0.0], [0]
     for end in range(1, len(text) + 1):
         found, where = -math.inf, end - 1
@@ -120,68 +119,118 @@ def segment(text: str, logs: dict[str, float], longest: int = LONGEST) -> list[s
     return out[::-1]
 
 
+def runs(text: str) -> Iterator[str]:
+    """Runs of letters, lower-cased, and runs of digits."""
+    run = ""
+    for c in [*text.lower(), "/"]:
+        if run and (c.isalpha() != run[-1].isalpha() or not c.isalnum()):
+            yield run
+            run = ""
+        if c.isalnum():
+            run += c
+
+
 def tokens(host: str, path: str, logs: dict[str, float], memo: dict[str, list[str]]) -> list[str]:
-    """Segmented words of host (`h:`) and path (`p:`); digits count as one token by their length."""
+    """Segmented words of host (`h:`) and path (`p:`); digits count as one token by their length. memo: splits so far."""
     out = []
     for kind, text in (("h:", host), ("p:", path)):
-        run = ""
-        for c in [*text.lower(), "/"]:
-            if run and (c.isalpha() != run[-1].isalpha() or not c.isalnum()):
-                if run[-1].isalpha():
-                    if run not in memo:
-                        if len(memo) > 100_000:
-                            memo.clear()
-                        memo[run] = segment(run, logs)
-                    out += [kind + w for w in memo[run]]
-                else:
-                    out.append(f"{kind}#{len(run)}")
-                run = ""
-            if c.isalnum():
-                run += c
+        for run in runs(text):
+            if run[-1].isalpha():
+                if run not in memo:
+                    memo[run] = segment(run, logs)
+                out += [kind + w for w in memo[run]]
+            else:
+                out.append(f"{kind}#{len(run)}")
     return out
 
 
-def _token_counts(logs: dict[str, float]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, list[str]] = {}
-        for batch in batches:
-            seen: Counter = Counter()
-            for host, path, verdict in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for t in tokens(host, path, logs, memo):
-                    seen[verdict, t] += 1
-                seen[verdict, ""] += 1
-            kinds, names = zip(*seen, strict=True) if seen else ((), ())
-            cols = [pa.array(kinds, pa.string()), pa.array(names, pa.string()), pa.array(seen.values(), pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["verdict", "token", "n"])
+def _letter_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, run) of each run of letters in host and path."""
+    for batch in batches:
+        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        seen = {(shard, run) for shard, *texts in rows for text in texts for run in runs(text) if run[-1].isalpha()}
+        shards, found = zip(*seen, strict=True) if seen else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(found, pa.string())], names=["shard", "run"])
+
+
+def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lot, word) of what can be a word in a run: the letters a-z, LONGEST at most."""
+
+    def flush() -> pa.RecordBatch:
+        lots, found = zip(*seen, strict=True) if seen else ((), ())
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(lots, pa.int32()), pa.array(found, pa.string())], names=["lot", "word"])
+
+    seen: set = set()
+    for batch in batches:
+        for lot, run in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part in re.finditer("[a-z]+", run):
+                for a in range(part.start(), part.end()):
+                    seen.update((lot, run[a:b]) for b in range(a + 1, min(part.end(), a + LONGEST) + 1))
+                    if len(seen) > 100_000:
+                        yield flush()
+    yield flush()
+
+
+def _splits(total: int, least: int):
+    def run(lot: pa.Table, known: pa.Table) -> pa.Table:
+        logs = {w: math.log(n / total) for w, n in zip(known["word"].to_pylist(), known["n"].to_pylist(), strict=True)}
+        found = lot["run"].to_pylist()
+        split = [segment(r, logs, least=math.log(least / total)) for r in found]
+        return pa.table({"run": pa.array(found, pa.string()), "split": pa.array(split, pa.list_(pa.string()))})
 
     return run
 
 
-def train(labelled: DataFrame, logs: dict[str, float], size: int = TOKENS) -> tuple[float, dict[str, float], float]:
-    """(prior, token -> log odds of block, log odds of an unknown token) from host, path, verdict of all rows given."""
-    counts = labelled.select("host", "path", "verdict").mapInArrow(_token_counts(logs), "verdict string, token string, n long")
-    block, allow = (F.coalesce(F.sum(F.when(F.col("verdict") == v, F.col("n"))), F.lit(0)).alias(v) for v in ("block", "allow"))
-    table = materialize(counts.groupBy("token").agg(block, allow), "tokens")
-    pages = table.filter("token = ''").first()
-    top = _commonest(table.filter("token != ''"), F.col("block") + F.col("allow"), size).collect()
+def _tokenize(pages: pa.Table, splits: pa.Table) -> pa.Table:
+    memo = dict(zip(splits["run"].to_pylist(), splits["split"].to_pylist(), strict=True))
+    found = [tokens(h, p, {}, memo) for h, p in zip(pages["host"].to_pylist(), pages["path"].to_pylist(), strict=True)]
+    return pages.append_column("tokens", pa.array(found, pa.list_(pa.string())))
+
+
+def tokenize(parts: DataFrame, texts: DataFrame) -> DataFrame:
+    """Add `shard` and `tokens`, an array, to rows with host and path. The unigram model counts all words of texts.
+
+    No task holds the model: the substrings of the distinct runs are joined to it, and each lot of runs gets the words
+    found in it; each shard of rows gets the splits of its runs.
+    """
+    words_, total, least = unigrams(texts)
+    parts = materialize(parts.withColumn("_row", F.monotonically_increasing_id()), "parts")
+    shards = max(1, -(-parts.count() // SHARD))
+    parts = parts.withColumn("shard", F.pmod(F.xxhash64("_row"), F.lit(shards)).cast("int")).drop("_row")
+    found = parts.select("shard", "host", "path").mapInArrow(_letter_runs, "shard int, run string").distinct()
+    found = materialize(found, "runs")
+    distinct = materialize(found.select("run").distinct(), "distinct_runs")
+    lots = max(1, -(-(distinct.agg(F.sum(F.length("run"))).first()[0] or 0) // LETTERS))
+    distinct = distinct.select(F.pmod(F.xxhash64("run"), F.lit(lots)).cast("int").alias("lot"), "run")
+    known = distinct.mapInArrow(_substrings, "lot int, word string").distinct().join(words_, "word")
+    splits = distinct.groupBy("lot").cogroup(known.groupBy("lot")).applyInArrow(_splits(total, least), "run string, split array<string>")
+    own = found.join(materialize(splits, "splits"), "run")
+    schema = ", ".join(f"{n} {t}" for n, t in parts.dtypes) + ", tokens array<string>"
+    return materialize(parts.groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(_tokenize, schema), "tokenized")
+
+
+def train(labelled: DataFrame, size: int = TOKENS) -> tuple[float, dict[str, float], float]:
+    """(prior, token -> log odds of block, log odds of an unknown token) from tokens and verdict of all rows given."""
+    block, allow = (F.count_if(F.col("verdict") == v).alias(v) for v in ("block", "allow"))
+    pages = labelled.agg(block, allow).first()
+    table = materialize(labelled.select("verdict", F.explode("tokens").alias("token")).groupBy("token").agg(block, allow), "tokens")
+    top = _commonest(table, F.col("block") + F.col("allow"), size).collect()
     b, a = (sum(r[v] for r in top) + len(top) + 1 for v in ("block", "allow"))
     odds = {r.token: math.log((r.block + 1) / b) - math.log((r.allow + 1) / a) for r in top}
-    prior = math.log((pages.block + 1) / (pages.allow + 1)) if pages else 0.0
-    return prior, odds, math.log(a / b)
+    return math.log((pages.block + 1) / (pages.allow + 1)), odds, math.log(a / b)
 
 
-def _score(logs: dict[str, float], prior: float, odds: dict[str, float], unknown: float):
+def _score(prior: float, odds: dict[str, float], unknown: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, list[str]] = {}
         for batch in batches:
             score, split = [], []
-            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                found = tokens(host, path, logs, memo)
+            for found in batch.column("tokens").to_pylist():
                 x = prior + sum(odds.get(t, unknown) for t in found)
                 score.append(1 / (1 + math.exp(-max(-500.0, min(500.0, x)))))
                 split.append(" ".join(found))
-            cols = [*batch.columns, pa.array(score, pa.float64()), pa.array(split, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "score", "tokens"])
+            cols = [*batch.columns[:-1], pa.array(score, pa.float64()), pa.array(split, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:-1], "score", "tokens"])
 
     return run
 
@@ -196,14 +245,13 @@ def judge(df: DataFrame, rules: list = RULES, threshold: float = THRESHOLD) -> D
     * null html counts no words; null page_id and repeated rows are rows of their own. Empty table: empty result.
     """
     small_batches(df.sparkSession)
-    logs = unigrams(df.select(F.col("html")))
     name, verdict = rule_columns(rules)
     parts = with_parts(df.select(F.col("page_id").cast("long").alias("page_id"), F.col("url")))
     parts = parts.select("page_id", "host", "path", name.alias("rule"), verdict.alias("verdict"))
-    decided = parts.filter("verdict is not null")
-    prior, odds, unknown = train(decided, logs)
+    parts = tokenize(parts, df.select(F.col("html"))).drop("shard")
+    prior, odds, unknown = train(parts.filter("verdict is not null"))
     schema = "page_id long, host string, path string, rule string, verdict string, score double, tokens string"
-    scored = parts.mapInArrow(_score(logs, prior, odds, unknown), schema)
+    scored = parts.mapInArrow(_score(prior, odds, unknown), schema)
     learned = bool(odds)
     method = F.when(F.lit(learned) & (F.col("score") >= threshold), "block").otherwise("allow")
     return scored.withColumn("verdict", F.coalesce("verdict", method)).select(

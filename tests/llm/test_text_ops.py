@@ -161,6 +161,15 @@ def test_bayes_learns(spark):
     assert (by[100].rule, by[100].verdict, by[101].verdict) == (None, "block", "allow")
 
 
+def test_unigrams_keep_all_words(spark):
+    """More single words than any cap that was: two rare ones still split a host."""
+    abc = "bcdfghjklm"
+    many = " ".join("".join(abc[int(d)] for d in f"{i:06d}") for i in range(60_000))
+    rows = [(1, "http://quartzwomtik.info/x", many), (2, "http://a.info/", "quartz the the"), (3, "http://b.info/", "womtik")]
+    by = {r.page_id: r.tokens.split() for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert by[1][:2] == ["h:quartz", "h:womtik"]
+
+
 def test_language_held_out(documents, nasty, empty):
     out = language_id.predict_all(documents).toPandas().merge(documents.toPandas()[["doc_id", "lang"]], on="doc_id")
     held = out[out.held_out & out.lang.notna()]

@@ -26,8 +26,6 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-#: Most tokens of the class model; the rarest go. It is broadcast.
-TOKENS = 50_000
 #: About so many pages, and letters of distinct runs, are worked on at once, each lot with the part of a model it needs.
 SHARD, LETTERS = 1 << 10, 1 << 16
 LONGEST = 24
@@ -72,21 +70,6 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
 
 
-def _commonest(counts: DataFrame, n: Column, size: int) -> DataFrame:
-    """Rows with the largest n, at most `size`: whole classes of nearly equal n, of which a histogram is looked at.
-
-    A top-k by sorting would send every task's k rows to the driver.
-    """
-    level = F.floor(F.log2(n) * 8)
-    cut, total = None, 0
-    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):
-        total += row["count"]
-        if total > size:
-            break
-        cut = row.level
-    return counts.filter(level >= cut) if cut is not None else counts.limit(0)
-
-
 def unigrams(texts: DataFrame) -> tuple[DataFrame, int, int]:
     """(table of word and n, sum of n, least n) of all words of a one-column table."""
     counts = texts.mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -210,27 +193,27 @@ def tokenize(parts: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(parts.groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(_tokenize, schema), "tokenized")
 
 
-def train(labelled: DataFrame, size: int = TOKENS) -> tuple[float, dict[str, float], float]:
-    """(prior, token -> log odds of block, log odds of an unknown token) from tokens and verdict of all rows given."""
+def train(labelled: DataFrame) -> tuple[float, DataFrame, int, int]:
+    """(prior, table of token, block and allow, the denominators of both classes) from tokens and verdict of all rows given."""
     block, allow = (F.count_if(F.col("verdict") == v).alias(v) for v in ("block", "allow"))
     pages = labelled.agg(block, allow).first()
     table = materialize(labelled.select("verdict", F.explode("tokens").alias("token")).groupBy("token").agg(block, allow), "tokens")
-    top = _commonest(table, F.col("block") + F.col("allow"), size).collect()
-    b, a = (sum(r[v] for r in top) + len(top) + 1 for v in ("block", "allow"))
-    odds = {r.token: math.log((r.block + 1) / b) - math.log((r.allow + 1) / a) for r in top}
-    return math.log((pages.block + 1) / (pages.allow + 1)), odds, math.log(a / b)
-
-
-def _score(prior: float, odds: dict[str, float], unknown: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score, split = [], []
-            for found in batch.column("tokens").to_pylist():
-                x = prior + sum(odds.get(t, unknown) for t in found)
-                score.append(1 / (1 + math.exp(-max(-500.0, min(500.0, x)))))
-                split.append(" ".join(found))
-            cols = [*batch.columns[:-1], pa.array(score, pa.float64()), pa.array(split, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:-1], "score", "tokens"])
+    sums = table.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count(F.lit(1)).alias("n")).first()
+    b, a = ((x or 0) + sums.n + 1 for x in (sums.block, sums.allow))
+    return math.log((pages.block + 1) / (pages.allow + 1)), table, b, a
+
+
+def _score(prior: float, b: int, a: int):
+    def run(pages: pa.Table, known: pa.Table) -> pa.Table:
+        rows = zip(*(known[c].to_pylist() for c in ("token", "block", "allow")), strict=True)
+        odds = {t: math.log((x + 1) / b) - math.log((y + 1) / a) for t, x, y in rows}
+        score, split = [], []
+        for found in pages["tokens"].to_pylist():
+            x = prior + sum(odds.get(t, math.log(a / b)) for t in found)
+            score.append(1 / (1 + math.exp(-max(-500.0, min(500.0, x)))))
+            split.append(" ".join(found))
+        out = pages.drop_columns(["shard", "tokens"])
+        return out.append_column("score", pa.array(score, pa.float64())).append_column("tokens", pa.array(split, pa.string()))
 
     return run
 
@@ -248,11 +231,13 @@ def judge(df: DataFrame, rules: list = RULES, threshold: float = THRESHOLD) -> D
     name, verdict = rule_columns(rules)
     parts = with_parts(df.select(F.col("page_id").cast("long").alias("page_id"), F.col("url")))
     parts = parts.select("page_id", "host", "path", name.alias("rule"), verdict.alias("verdict"))
-    parts = tokenize(parts, df.select(F.col("html"))).drop("shard")
-    prior, odds, unknown = train(parts.filter("verdict is not null"))
+    parts = tokenize(parts, df.select(F.col("html")))
+    prior, odds, b, a = train(parts.filter("verdict is not null"))
+    # Each shard gets the odds of its own tokens; the table stays whole.
+    own = parts.select(F.col("shard").alias("of"), F.explode("tokens").alias("token")).distinct().join(odds, "token")
     schema = "page_id long, host string, path string, rule string, verdict string, score double, tokens string"
-    scored = parts.mapInArrow(_score(prior, odds, unknown), schema)
-    learned = bool(odds)
+    scored = parts.groupBy("shard").cogroup(own.groupBy("of")).applyInArrow(_score(prior, b, a), schema)
+    learned = not odds.isEmpty()
     method = F.when(F.lit(learned) & (F.col("score") >= threshold), "block").otherwise("allow")
     return scored.withColumn("verdict", F.coalesce("verdict", method)).select(
         "page_id", "host", "path", "rule", "verdict", "score", "tokens"

@@ -170,6 +170,18 @@ def test_unigrams_keep_all_words(spark):
     assert by[1][:2] == ["h:quartz", "h:womtik"]
 
 
+def test_bayes_keeps_all_tokens(spark):
+    """More tokens seen once than any cap that was: the odds of a rare one, and the sums over all, still count."""
+    abc = "bcdfghjklm"
+    word = lambda i: "".join(abc[int(d)] for d in f"{i:06d}")
+    rows = [(i, f"http://{'org/es' if i % 2 else 'net/de'}/" + "/".join(map(word, range(i * 1000, i * 1000 + 1000))), None) for i in range(52)]
+    rows += [(100, f"http://info/{word(1000)}/{word(1001)}", None), (101, f"http://info/{word(0)}/{word(1)}", None), (102, "http://info/zz", None)]
+    by = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # h:org, p:es and 26,000 words of block pages; as many of allow ones. Classes are alike, so an unknown token says nothing.
+    assert abs(by[100].score - 0.8) < 1e-9 and abs(by[101].score - 0.2) < 1e-9 and abs(by[102].score - 0.5) < 1e-9
+    assert (by[100].verdict, by[101].verdict) == ("block", "allow")
+
+
 def test_language_held_out(documents, nasty, empty):
     out = language_id.predict_all(documents).toPandas().merge(documents.toPandas()[["doc_id", "lang"]], on="doc_id")
     held = out[out.held_out & out.lang.notna()]

@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from .common import crc_mod, small_batches
 from .textbytes import PIECE, pieces, utf8
 
-#: Trigram buckets, most languages of a model (the commonest), about so many documents to learn a language from.
-BUCKETS, LANGUAGES, SAMPLE = 1 << 13, 64, 4000
+#: Trigram buckets, about so many documents to learn a language from.
+BUCKETS, SAMPLE = 1 << 13, 4000
+#: About so many likelihoods (trigrams by languages) are worked on at once.
+CELLS = 1 << 22
 FOLDS, HELD = 5, 0
 #: Languages that stay candidates after the first rounds; rounds over all languages, and for each nested set.
 CANDIDATES, ROUNDS, MORE = 6, 10, 4
@@ -51,20 +53,21 @@ def trigram_counts(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS
     return out.reshape(rows, buckets)
 
 
-def _language_counts(langs: list[str], buckets: int):
-    index = {x: i for i, x in enumerate(langs)}
-
+def _language_counts(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(langs), buckets), np.int64)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            of = np.array([index[x] for x in batch.column(1).to_pylist()], np.int64)
+            langs = np.array(batch.column(1).to_pylist(), np.int64)
             data, offsets = utf8(batch.column(0))
             for lo, hi in pieces(offsets):
                 part = trigram_counts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], buckets)
-                np.add.at(total, of[lo:hi], part)
-        lang, at = np.nonzero(total)
-        cols = [pa.array(lang, pa.int64()), pa.array(at, pa.int64()), pa.array(total[lang, at])]
-        yield pa.RecordBatch.from_arrays(cols, names=["lang", "bucket", "n"])
+                for lang in np.unique(langs[lo:hi]).tolist():
+                    found = part[langs[lo:hi] == lang].sum(0)
+                    total[lang] = total[lang] + found if lang in total else found
+        for lang, counts in total.items():
+            at = np.flatnonzero(counts)
+            cols = [pa.array(np.full(len(at), lang), pa.int64()), pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["lang", "bucket", "n"])
 
     return run
 
@@ -72,19 +75,20 @@ def _language_counts(langs: list[str], buckets: int):
 def train(df: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> tuple[list[str], np.ndarray]:
     """(languages, trigram probabilities [buckets, languages]) from rows (doc_id, text, lang) with a language.
 
-    Learns from about `sample` whole documents a language, chosen by a hash of the id. What reaches the driver is a
-    count per language and bucket. No labelled row: no languages.
+    Learns every language, from about `sample` whole documents each, chosen by a hash of the id. What reaches the driver is
+    a count per language and bucket: 64 KB a language. No labelled row: no languages.
     """
     rows = df.filter("lang is not null")
-    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    langs = sorted(r.lang for r in found)
+    found = sorted(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r.lang)
+    langs = [r.lang for r in found]
     if not langs:
         return [], np.zeros((buckets, 0))
-    chosen = F.lit(False)
     scale = 1 << 30
-    for r in found:
-        chosen = chosen | ((F.col("lang") == r.lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < int(scale * min(1.0, sample / r.n))))
-    counts = rows.filter(chosen).select("text", "lang").mapInArrow(_language_counts(langs, buckets), "lang long, bucket long, n long")
+    shares = [(r.lang, i, int(scale * min(1.0, sample / r.n))) for i, r in enumerate(found)]
+    # One row a language, joined: a condition for each would be too deep a plan.
+    drawn = rows.join(F.broadcast(df.sparkSession.createDataFrame(shares, "lang string, _at long, _share long")), "lang")
+    chosen = drawn.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < F.col("_share")).select("text", "_at")
+    counts = chosen.mapInArrow(_language_counts(buckets), "lang long, bucket long, n long")
     table: pd.DataFrame = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros((buckets, len(langs)))
     total[table["bucket"], table["lang"]] = table["n"]
@@ -108,6 +112,19 @@ def infer(counts: np.ndarray, probs: np.ndarray, penalty: float = PENALTY) -> np
     full = np.flatnonzero(counts.any(1))
     if not len(full) or not probs.shape[1]:
         return out
+    cells = np.cumsum(np.count_nonzero(counts[full], axis=1)) * probs.shape[1]
+    if len(full) > 1 and cells[-1] > CELLS:
+        for some in np.split(full, np.flatnonzero(np.diff(cells // CELLS)) + 1):
+            out[some] = _infer(counts[some], probs, penalty)
+        return out
+    out[full] = _infer(counts[full], probs, penalty)
+    return out
+
+
+def _infer(counts: np.ndarray, probs: np.ndarray, penalty: float) -> np.ndarray:
+    """infer for rows that all have trigrams."""
+    full = np.arange(len(counts))
+    out = np.zeros((len(counts), probs.shape[1]))
     of, bucket = np.nonzero(counts[full])
     c = counts[full][of, bucket].astype(float)
     at = np.searchsorted(of, np.arange(len(full)))

@@ -198,6 +198,17 @@ def test_language_held_out(documents, nasty, empty):
     assert {r.lang_pred for r in language_id.identify(nasty, [], np.zeros((8192, 0))).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(3)
+    say = lambda i: " ".join(chr(0x4E00 + 100 * i + rng.randrange(40)) * 2 for _ in range(60))
+    rows = [(100 * i + j, say(i), f"l{i:02d}") for i in range(70) for j in range(1 if i >= 64 else 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, probs = language_id.train(df)
+    assert langs == [f"l{i:02d}" for i in range(70)] and probs.shape[1] == 70
+    by = {r.doc_id: r.lang_pred for r in language_id.identify(df, langs, probs).collect()}
+    assert all(by[100 * i] == f"l{i:02d}" for i in range(64, 70))
+
+
 def test_language_mixture():
     rng = random.Random(2)
     vocab = {g: ["".join(rng.choices(abc, k=6)) for _ in range(300)] for g, abc in (("x", "abcdefgh"), ("y", "ijklmnop"), ("z", "qrstuvwa"))}

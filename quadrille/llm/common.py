@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,12 +48,51 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths of the tables written so far, innermost `scratch` last; the first list is of those that nothing clears by itself.
+_written: list[list[str]] = [[]]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: lineage ends there, any executor can reread it."""
+    """Write a table into the shared folder and read it back: lineage ends there, any executor can reread it.
+
+    The table stays until the `scratch` block around the call ends, or until `clear`.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Delete the tables that are materialized inside when the block ends, but for those handed to the function given.
+
+    What a lazy result still reads has to be handed over; it then belongs to the block around this one.
+    """
+    kept: set[str] = set()
+    _written.append([])
+    try:
+        yield lambda *tables: kept.update(t._written_at for t in tables if t is not None)
+    finally:
+        own = _written.pop()
+        _written[-1] += [p for p in own if p in kept]
+        _delete(spark, [p for p in own if p not in kept])
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that operators have left for their lazy results; those results can't be read any more."""
+    _delete(spark, _written[0])
+    _written[0].clear()
 
 
 def ascii_lower(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,16 +21,18 @@ def components(links: DataFrame) -> DataFrame:
         return tuple(x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first())
 
     seen = None
-    while seen is None or seen[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        now = mark(e)
-        if now == seen:
-            break
-        seen = now
+    with scratch(links.sparkSession) as keep:
+        while seen is None or seen[0]:
+            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+            large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+            now = mark(e)
+            if now == seen:
+                break
+            seen = now
+        keep(e)
     rows = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return rows.unionByName(rows.select(F.col("component").alias("node"), "component").distinct())

@@ -22,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import setsketch
-from .common import materialize, small_batches
+from .common import materialize, scratch, small_batches
 from .components import components
 from .textbytes import LOWER, SPACES, U64, mix, pieces, shingles, utf8, word_hashes, words
 
@@ -38,8 +38,6 @@ SLACK = 0.2
 #: Longs of the bitmap of a document's shared shingles.
 MAP = 16
 MAPS = [f"map{i}" for i in range(MAP)]
-#: Bytes kept of a shingle's 64-bit hash in the stored sets.
-KEPT = 6
 #: Chance at which a pair at the threshold may differ in more register bits than allowed.
 TAIL = 1e-9
 #: Pivots of a bucket by round; later rounds take four times as many as the one before. A bucket with no more members than
@@ -47,12 +45,16 @@ TAIL = 1e-9
 PIVOTS = (1, 64, 4096)
 #: Most ids of a broadcast; more are joined by a shuffle.
 BROADCAST = 500_000
+#: Members of a bucket that meet its pivots in one task; a larger bucket is dealt over several.
+SPLIT = 2048
 
-_BANDS = "doc_id long, n_shingles long, fp1 long, fp2 long, bit1 long, bit2 long, bit3 long, bands array<long>"
+_BANDS = "doc_id long, mark long, n_shingles long, fp1 long, fp2 long, bit1 long, bit2 long, bit3 long, bands array<long>"
 _SETS = "doc_id long, n_shingles long, regs binary, shingles binary"
 
 
 def _sketch(k: int, keep_sets: bool):
+    """Sketches of rows (doc_id, text, mark), or of rows (doc_id, text) the registers and sets themselves."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
@@ -74,7 +76,7 @@ def _sketch(k: int, keep_sets: bool):
                             batch.column(0).slice(lo, hi - lo),
                             pa.array(n),
                             pa.array([r.tobytes() for r in regs], pa.binary()),
-                            pa.array([packed(s) for s in sets], pa.binary()),
+                            pa.array([s.tobytes() for s in sets], pa.binary()),
                         ],
                         names=["doc_id", "n_shingles", "regs", "shingles"],
                     )
@@ -87,24 +89,17 @@ def _sketch(k: int, keep_sets: bool):
                     fp[1, full] = np.bitwise_xor.reduceat(mix(flat ^ U64(0xA5A5A5A5A5A5A5A5)), at)
                 keys = setsketch.band_keys(regs)
                 bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel()))
-                cols = [batch.column(0).slice(lo, hi - lo), pa.array(n), *(pa.array(x.view(np.int64)) for x in fp)]
+                cols = [batch.column(c).slice(lo, hi - lo) for c in (0, 2)] + [pa.array(n), *(pa.array(x.view(np.int64)) for x in fp)]
                 cols += [*(pa.array(np.ascontiguousarray(x)) for x in low_bits(regs).T), bands]
-                names = ["doc_id", "n_shingles", "fp1", "fp2", "bit1", "bit2", "bit3", "bands"]
+                names = ["doc_id", "mark", "n_shingles", "fp1", "fp2", "bit1", "bit2", "bit3", "bands"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
 
-def packed(hashes: np.ndarray) -> bytes:
-    """Sorted hashes as their high bytes."""
-    wide = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
-    return wide[:, :KEPT].tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // KEPT, 8), np.uint8)
-    wide[:, :KEPT] = np.frombuffer(data, np.uint8).reshape(-1, KEPT)
-    return wide.view(">u8").ravel().astype(U64)
+def hashes(data: bytes) -> np.ndarray:
+    """A stored set's hashes, sorted."""
+    return np.frombuffer(data, "<u8").astype(U64)
 
 
 def low_bits(regs: np.ndarray) -> np.ndarray:
@@ -136,7 +131,7 @@ def _confirm(percent: int, floor: float):
             sizes = [batch.column(c).to_numpy().astype(float) for c in (4, 5)]
             linked = setsketch.joint_estimate(*regs, *sizes) >= floor
             for i in np.flatnonzero(linked):
-                x, y = (unpacked(batch.column(c)[i].as_py()) for c in (6, 7))
+                x, y = (hashes(batch.column(c)[i].as_py()) for c in (6, 7))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 linked[i] = 100 * common >= percent * (len(x) + len(y) - common)
             yield batch.select([0, 1]).filter(pa.array(linked))
@@ -164,7 +159,7 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for lo in range(0, batch.num_rows, 64):
             some = batch.slice(lo, 64)
-            sets = [unpacked(x) for x in some.column(1).to_pylist()]
+            sets = [hashes(x) for x in some.column(1).to_pylist()]
             ids = np.repeat(some.column(0).to_numpy(), [len(x) for x in sets])
             flat = np.concatenate(sets).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(flat)], names=["doc_id", "shingle"])
@@ -175,11 +170,11 @@ def _shared_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         common, maps = [], np.zeros((batch.num_rows, 64 * MAP), np.uint8)
         for i, (x, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
-            shared = unpacked(x)
+            shared = hashes(x)
             if own.is_valid:
                 shared = np.setdiff1d(shared, own.values.to_numpy().view(U64), assume_unique=True)
             common.append(len(shared))
-            maps[i, (shared >> U64(64 - 8 * KEPT) & U64(64 * MAP - 1)).astype(np.int64)] = 1
+            maps[i, (shared & U64(64 * MAP - 1)).astype(np.int64)] = 1
         longs = np.packbits(maps, axis=1).view(np.int64).reshape(-1, MAP)
         cols = [batch.column(0), pa.array(common, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in longs.T)]
         yield pa.RecordBatch.from_arrays(cols, names=["rep", "common", *MAPS])
@@ -207,82 +202,152 @@ def _open(state: DataFrame) -> DataFrame:
     return state.drop("size").join(keys.filter("lo != hi").select("key", "size"), "key")
 
 
-def classes(df: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per row of df: doc_id, n_shingles, component_id, kept, and set_id (equal for equal shingle sets).
-
-    * null, empty or blank text: no shingles, linked with nothing, component_id is the document's own id, kept.
-    * fewer than k words: the whole sequence is the only shingle.
-    * null doc_id: component_id null and kept false if another document has an equal set, else kept; links with nothing.
-    * rows that repeat a doc_id and text: each returned, same values. A doc_id with several texts is one node, and any one
-      of the texts stands for it in the tests. Empty table: empty. Other columns are ignored.
-    """
-    spark = df.sparkSession
-    small_batches(spark)
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    sketched = materialize(rows.mapInArrow(_sketch(k, False), _BANDS), "sketched")
-    full = sketched.filter("n_shingles > 0 and doc_id is not null")
-    bits = ["bit1", "bit2", "bit3"]
-    first = full.groupBy("fp1", "fp2", "n_shingles").agg(F.min(F.struct("doc_id", *bits, "bands")).alias("least"))
-    first = first.select("fp1", "fp2", "n_shingles", F.col("least.doc_id").alias("rep"), *[f"least.{b}" for b in bits], "least.bands")
-    reps = materialize(first, "reps")
+def _candidates(state: DataFrame, p: int, percent: int, unequal: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs a, b that may link; the pivots used: key, rep). A bucket gives at most p pivots, which travel to its parts."""
+    facts = ["rep", "n_shingles", "common", *MAPS, *BITS]
+    parts = F.ceil(F.col("size") / SPLIT).cast("int")
+    slot = F.when(F.col("size") <= p, F.col("rep")).otherwise(F.pmod(F.xxhash64("rep"), F.lit(p)))
+    drawn = state.groupBy("key", slot.alias("slot")).agg(
+        F.min(F.struct(F.xxhash64("rep").alias("h"), "comp", *facts)).alias("at"), F.max("size").alias("size")
+    )
+    pivots = drawn.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(f"at.{n}").alias(f"p_{n}") for n in ["comp", *facts]])
+    dealt = state.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "rep"), parts).cast("int"))
+    least, total = F.least("common", "p_common"), F.col("n_shingles") + F.col("p_n_shingles")
+    # Bits that only one of the two maps has count against both sides' common shingles.
+    unlike = sum((F.bit_count(F.col(m).bitwiseXOR(F.col("p_" + m))) for m in MAPS), F.lit(0))
+    shared = (F.col("common") + F.col("p_common") - unlike) / 2
+    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"p_{b}"))) for b in BITS), F.lit(0))
+    enough = lambda most: F.lit(100) * most >= F.lit(percent) * (total - most)
+    near = (F.col("comp") != F.col("p_comp")) & enough(least) & (apart <= unequal) & enough(shared)
+    pairs = dealt.join(pivots, ["key", "part"]).filter(near)
+    pairs = pairs.select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct()
+    return pairs, drawn.select("key", F.col("at.rep").alias("rep"))
+
+
+def _links(rows: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """(node, component) of the sets that link with another; None if none does."""
     bands = reps.select("rep", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo != hi").select("key")
-    state = materialize(bands.join(shared, "key").select("key", "rep", F.lit(2).cast("long").alias("size")), "buckets")
-    active = materialize(state.select(F.col("rep").alias("doc_id")).distinct(), "active")
-    facts = reps.select("rep", "n_shingles", *bits).dropDuplicates(["rep"])
+    shared = bands.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("size"))
+    state = materialize(bands.join(shared.filter("lo != hi").select("key", "size"), "key"), "buckets")
+    active = materialize(state.select("rep").distinct(), "active")
+    n = active.count()
+    if not n:
+        return None
+    facts = reps.select("rep", "n_shingles", *BITS)
     none = [F.lit(0).cast("long").alias(m) for m in MAPS]
     state = state.join(facts, "rep").withColumns({"comp": F.col("rep"), "common": F.col("n_shingles")}).select("*", *none)
     state = materialize(state, "state")
-    unequal = most_unequal(percent)
-    facts = ["rep", "n_shingles", "common", *MAPS, *bits]
-    n = active.count()
-    sets = materialize(_among(rows, active, n).mapInArrow(_sketch(k, True), _SETS), "sets")
-    # An id that is repeated with other texts is one node; any one of its texts stands for it.
+    # A set's text is that of any row with the representative's id and mark.
+    wanted = reps.join(F.broadcast(active) if n <= BROADCAST else active, "rep", "left_semi").select("rep", "doc_id", "mark")
+    wanted = wanted.alias("w") if n > BROADCAST else F.broadcast(wanted).alias("w")
+    texts = rows.alias("r").join(wanted, F.expr("r.mark = w.mark and r.doc_id <=> w.doc_id")).select(F.col("rep").alias("doc_id"), "text")
+    sets = materialize(texts.mapInArrow(_sketch(k, True), _SETS), "sets")
     if sets.count() != n:
         sets = materialize(sets.dropDuplicates(["doc_id"]), "sets")
-    labels, turn = None, 0
+    unequal, labels, turn = most_unequal(percent), None, 0
     while not state.isEmpty():
         p = PIVOTS[min(turn, len(PIVOTS) - 1)] * 4 ** max(0, turn - len(PIVOTS) + 1)
-        slot = F.when(F.col("size") <= p, F.col("rep")).otherwise(F.pmod(F.xxhash64("rep"), F.lit(p)))
-        drawn = state.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "comp", *facts)).alias("at"))
-        pivots = drawn.select("key", *[F.col(f"at.{n}").alias(f"p_{n}") for n in ["comp", *facts]])
-        least, total = F.least("common", "p_common"), F.col("n_shingles") + F.col("p_n_shingles")
-        # Bits that only one of the two maps has count against both sides' common shingles.
-        unlike = sum((F.bit_count(F.col(m).bitwiseXOR(F.col("p_" + m))) for m in MAPS), F.lit(0))
-        shared = (F.col("common") + F.col("p_common") - unlike) / 2
-        apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"p_{b}"))) for b in bits), F.lit(0))
-        enough = lambda most: F.lit(100) * most >= F.lit(percent) * (total - most)
-        near = (F.col("comp") != F.col("p_comp")) & enough(least) & (apart <= unequal) & enough(shared)
-        pairs = state.join(pivots, "key").filter(near)
-        pairs = pairs.select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct()
-        found = materialize(_linked(materialize(pairs, "pairs"), sets, percent), "found")
-        used = pivots.select("key", F.col("p_rep").alias("rep"))
-        state = state.join(used, ["key", "rep"], "left_anti")
-        if not found.isEmpty():
-            # Known classes go in as stars, so only the new links have to be worked through.
-            stars = None if labels is None else labels.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-            labels = components(found if stars is None else found.unionByName(stars))
-            state = state.drop("comp").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-            state = state.select("key", "size", F.coalesce("component", "rep").alias("comp"), *facts)
-        state = materialize(_open(state), "buckets")
-        if turn == 0:
-            state = materialize(_with_shared(state, sets), "shared")
+        with scratch(rows.sparkSession) as keep:
+            pairs, used = _candidates(state, p, percent, unequal)
+            found = materialize(_linked(materialize(pairs, "pairs"), sets, percent), "found")
+            state = state.join(used, ["key", "rep"], "left_anti")
+            if not found.isEmpty():
+                # Known classes go in as stars, so only the new links have to be worked through.
+                stars = None if labels is None else labels.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+                labels = materialize(components(found if stars is None else found.unionByName(stars)), "labels")
+                state = state.drop("comp").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+                state = state.withColumn("comp", F.coalesce("component", "rep")).drop("component")
+            state = materialize(_open(state), "buckets")
+            if turn == 0:
+                state = materialize(_with_shared(state, sets), "shared")
+            keep(state, labels)
         turn += 1
-    if labels is None:
-        named = reps.withColumn("component", F.col("rep"))
-    else:
-        named = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        named = named.withColumn("component", F.coalesce("component", "rep"))
-    named = named.select("fp1", "fp2", "n_shingles", "rep", "component")
-    every = sketched.select("doc_id", "n_shingles", "fp1", "fp2").join(named, ["fp1", "fp2", "n_shingles"], "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    component = F.when(F.col("doc_id").isNotNull(), own)
-    kept = F.when(F.col("doc_id").isNull(), F.col("rep").isNull()).otherwise(F.col("doc_id") == own)
-    return every.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), F.hex("fp1").alias("set_id"))
+    return labels
+
+
+BITS = ["bit1", "bit2", "bit3"]
+
+
+def _marked(df: DataFrame) -> DataFrame:
+    """doc_id, text and mark, a hash of the text: rows that agree in id and mark are the same document."""
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("mark"))
+
+
+def _labelled(df: DataFrame, k: int, percent: int) -> DataFrame:
+    """Per row: doc_id, mark, n_shingles, fp1 and fp2 (the set's), least (its class's smallest id), top1 and top2 (the set that stays)."""
+    spark = df.sparkSession
+    small_batches(spark)
+    rows = _marked(df)
+    with scratch(spark) as keep:
+        sketched = materialize(rows.mapInArrow(_sketch(k, False), _BANDS), "sketched")
+        # Nodes are the distinct sets, known by a number that the write fixes; an id with several texts is several nodes.
+        whose = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", *BITS, "bands")
+        first = sketched.filter("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.min(whose).alias("own"))
+        first = first.select("fp1", "fp2", "n_shingles", "own.doc_id", "own.mark", *[f"own.{b}" for b in BITS], "own.bands")
+        reps = materialize(first.withColumn("rep", F.monotonically_increasing_id()), "reps")
+        labels = _links(rows, reps, k, percent)
+        own = reps.select("rep", "fp1", "fp2", "n_shingles", F.col("doc_id").alias("least"), F.col("fp1").alias("top1"), F.col("fp2").alias("top2"))
+        if labels is None:
+            named = own
+        else:
+            linked = own.join(labels.withColumnRenamed("node", "rep"), "rep").drop("top1", "top2")
+            top = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp1", "fp2")).alias("top")
+            tops = linked.groupBy("component").agg(top).select("component", "top.least", F.col("top.fp1").alias("top1"), F.col("top.fp2").alias("top2"))
+            linked = linked.drop("least").join(tops, "component").drop("component")
+            named = own.join(labels.select(F.col("node").alias("rep")), "rep", "left_anti").unionByName(linked)
+        named = materialize(named.drop("rep"), "named")
+        keep(sketched, named)
+    every = sketched.select("doc_id", "mark", "n_shingles", "fp1", "fp2")
+    return every.join(named, ["fp1", "fp2", "n_shingles"], "left")
+
+
+def _stays() -> Column:
+    """Whether a row of `_labelled` has its class's smallest id, or without any id the set that stands for the class."""
+    mine = (F.col("fp1") == F.col("top1")) & (F.col("fp2") == F.col("top2"))
+    return F.when(F.col("n_shingles") == 0, True).when(F.col("doc_id").isNull(), F.col("least").isNull() & mine).otherwise(F.col("doc_id") == F.col("least"))
+
+
+def classes(df: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per row of df: doc_id, n_shingles, component_id, kept, and set_id (equal for equal shingle sets).
+
+    * null, empty or blank text: no shingles, linked with nothing, component_id is the document's own id, kept.
+    * fewer than k words: the whole sequence is the only shingle.
+    * null doc_id: linked like others; component_id is the smallest id reachable, null if there is none. Kept only in a
+      class without ids, and there in one set.
+    * a doc_id with several texts: every row is linked by its own text. Rows that repeat a doc_id and text: each returned,
+      same values. Empty table: empty. Other columns are ignored, whatever their names.
+    """
+    out = _labelled(df, k, percent)
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), _stays().alias("kept"), F.hex("fp1").alias("set_id"))
 
 
 def deduplicate(df: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of df that stay, one document of each class, with their columns as they were."""
-    name = "__quadrille_gone"
-    gone = classes(df, k, percent).filter("not kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
-    return df.join(gone, df["doc_id"] == gone[name], "left_anti")
+    """One row of df for each class, with its columns as they were: one with the class's smallest id.
+
+    * null, empty or blank text: linked with nothing, so all such rows stay.
+    * a class without any id: one row of it stays. An id with several texts: each text goes or stays by its own class; in
+      a class where the smallest id has several texts, one of them stays.
+    * rows that repeat the id and text that stay: the one whose columns, as JSON, are the greatest text. Empty table: empty.
+    """
+    id_, mark = "__quadrille_id", "__quadrille_mark"
+    with scratch(df.sparkSession) as keep:
+        rows = materialize(_labelled(df, k, percent).filter("n_shingles > 0").withColumn("stays", _stays()), "labelled")
+        least = F.min(F.struct("fp1", "fp2", "mark")).alias("one")
+        one = rows.filter("stays").groupBy("top1", "top2").agg(least).select("top1", "top2", F.col("one.mark").alias("one"))
+        rows = rows.join(one, ["top1", "top2"]).select("doc_id", "mark", (F.col("stays") & (F.col("mark") == F.col("one"))).alias("stays"))
+        counts = rows.groupBy("doc_id", "mark").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+        counts = materialize(counts.filter("not stays or n > 1"), "counts")
+        # Rows that go; and, of what stays, rows that are there several times.
+        gone = counts.filter("not stays or n > 1").select(F.col("doc_id").alias(id_), F.col("mark").alias(mark))
+        many = counts.filter("stays").select(F.col("doc_id").alias(id_), F.col("mark").alias(mark))
+        keep(counts)
+        repeated = not many.isEmpty()
+    same = lambda t: df["doc_id"].cast("long").eqNullSafe(t[id_]) & (F.xxhash64(df["text"]) == t[mark])
+    out = df.join(gone, same(gone), "left_anti")
+    if not repeated:
+        return out
+    whole = df.join(many, same(many), "left_semi")
+    row = F.struct(*[whole[c] for c in whole.columns])
+    once = whole.groupBy(whole["doc_id"].alias(id_), whole["text"].alias(mark)).agg(F.max_by(row, F.to_json(row)).alias("__quadrille_row"))
+    return out.unionByName(once.select("__quadrille_row.*"))

@@ -1,12 +1,14 @@
 import hashlib
+import json
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from quadrille.llm import exact_dedup, near_dedup, setsketch
+from quadrille.llm import common, exact_dedup, near_dedup, setsketch
 from quadrille.llm.components import components
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -68,11 +70,48 @@ def test_exact_documents(documents, empty):
     assert exact_dedup.deduplicate(empty).count() == 0
 
 
+def as_rows(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+#: One id with several texts, repeated rows, null ids alone and beside others, ties in case.
+CLASHING = [
+    (9, "x one", "a"), (9, "y", "a"), (10, "y", "b"), (10, "Y", "c"), (10, "Y", "c"), (None, "z", "q"), (None, "z", "r"), (None, "y", "s"),
+    (3, None, "k"), (4, "", "k"), (5, "Z z", "k"), (5, "z Z", "k"), (5, "other", "k"), (None, None, "n"), (9, "x one", "a"),
+]
+
+
+def kept_exact(rows):
+    """One row of each text: the largest (id, JSON), null ids first."""
+    best = {}
+    for r in rows:
+        norm = (r[1] or "").translate(FOLD)
+        pairs = [("doc_id", r[0]), ("text", r[1]), ("source", r[2])]
+        text = json.dumps({k: v for k, v in pairs if v is not None}, separators=(",", ":"))
+        key = (r[0] is not None, r[0] or 0, text)
+        if norm not in best or key > best[norm][0]:
+            best[norm] = (key, r)
+    return Counter(r for _, r in best.values())
+
+
+@pytest.mark.parametrize("width", [32, 1, 0])
+def test_exact_by_row(spark, width):
+    """width 0 and 1: all or many texts share a digest, and are told apart by their text."""
+    rng = random.Random(width)
+    rows = CLASHING + [(rng.choice([None, *range(40)]), rng.choice("abcdefABC") * rng.randrange(3), rng.choice("st")) for _ in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    assert as_rows(exact_dedup.deduplicate(df, width=width)) == kept_exact(rows)
+    got = Counter(tuple(r)[:4] for r in exact_dedup.classes(df, width=width).collect())
+    assert got == sum((Counter({k[:4]: n}) for k, n in brute_exact([r[:2] for r in rows]).items()), Counter())
+    left = exact_dedup.deduplicate(df, width=width)
+    assert {(t or "").translate(FOLD) for _, t, _ in rows} == {(r.text or "").translate(FOLD) for r in left.collect()}
+
+
 def test_exact_rows_stay_whole(nasty):
     kept = exact_dedup.deduplicate(nasty)
     assert kept.columns == nasty.columns
     ids = Counter(r.doc_id for r in kept.collect())
-    assert ids == Counter({2: 1, 4: 1, 5: 1, 6: 1, 7: 1, 8: 1, 9: 2, None: 1, 10: 1, 11: 1})
+    assert ids == Counter({2: 1, 4: 1, 5: 1, 6: 1, 7: 1, 8: 1, 9: 1, None: 1, 10: 1, 11: 1})
 
 
 def edited(rng, words, n):
@@ -144,9 +183,70 @@ def test_unequal_bits_bound():
     assert 30 < near_dedup.most_unequal(85) < 50
 
 
-def test_packed_sets():
-    h = np.unique(np.random.default_rng(2).integers(0, 2**63, 100).astype(np.uint64))
-    assert (near_dedup.unpacked(near_dedup.packed(h)) >> np.uint64(16) == h >> np.uint64(16)).all()
+def brute_near_rows(rows, percent=85):
+    """Per row (shingles, smallest id of its class), each row a node of its own."""
+    sets = [shingle_set(t) for _, t, *_ in rows]
+    of = list(range(len(rows)))
+
+    def find(x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if common and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                of[find(a)] = find(b)
+    least = defaultdict(lambda: None)
+    for i, r in enumerate(rows):
+        at = find(i)
+        if r[0] is not None:
+            least[at] = r[0] if least[at] is None else min(least[at], r[0])
+    return [(len(sets[i]), r[0] if not sets[i] else least[find(i)], find(i)) for i, r in enumerate(rows)]
+
+
+def test_near_by_row(spark):
+    """One id with several texts, null ids, repeated rows: no text is lost and no class stays twice."""
+    rng = random.Random(11)
+    rows = list(CLASHING) + [(5, "b " * 30 + "c", "s"), (9, "a text of nine that none else has got", "s"), (9, "b " * 30 + "c", "s"), (None, "b " * 30 + "C", "s")]
+    for family in range(8):
+        base = [f"f{family}w{j}" for j in range(rng.choice([6, 40, 120]))]
+        rows += [(rng.choice([None, *range(20)]), edited(rng, base, rng.choice([0, 0, 1, 2])), "t") for _ in range(8)]
+    rows += [rows[-1], rows[-1], (None, "alone without an id at all", "t"), (None, "alone without an id AT all", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    want = brute_near_rows(rows)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.classes(df).collect())
+    assert got == Counter((r[0], n, c) for r, (n, c, _) in zip(rows, want, strict=True))
+    kept = [tuple(r) for r in near_dedup.deduplicate(df).collect()]
+    at = {r: (n, c, node) for r, (n, c, node) in zip(rows, want, strict=True)}
+    assert Counter(at[r][2] for r in kept if at[r][0]) == Counter({node: 1 for n, _, node in want if n})
+    assert all(r[0] == at[r][1] for r in kept if at[r][0])
+    assert Counter(r for r in kept if not at[r][0]) == Counter(r for r in rows if not at[r][0])
+
+
+def test_near_large_bucket(spark, monkeypatch):
+    """Buckets dealt over several parts, and several pivots a round, find the same classes."""
+    monkeypatch.setattr(near_dedup, "SPLIT", 7)
+    monkeypatch.setattr(near_dedup, "PIVOTS", (1, 3, 8))
+    rng, passage = random.Random(12), [f"p{j}" for j in range(80)]
+    rows = [(i, " ".join(passage + [f"o{rng.randrange(10**6)}" for _ in range(rng.choice([3, 8, 12, 20]))])) for i in range(70)]
+    out = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_near(rows)
+
+
+def test_scratch_tables_go(spark, documents):
+    """What operators write for themselves is deleted, and what a lazy result reads goes with `clear`."""
+    from urllib.parse import urlsplit
+
+    common.clear(spark)
+    folder = Path(urlsplit(common.shared_dir(spark)).path)
+    before = set(folder.iterdir())
+    out = near_dedup.classes(documents)
+    out.count()
+    assert len(set(folder.iterdir()) - before) == 2
+    common.clear(spark)
+    assert set(folder.iterdir()) <= before
 
 
 def test_components(spark):

@@ -1,7 +1,8 @@
 """Token ids of a byte-level BPE vocabulary file, fast and in bounded memory.
 
 The file is a `tokenizers` JSON; its path is a parameter. Ids are computed by tiktoken from the file's own vocabulary,
-several times as fast, after both libraries agreed on a probe; if they don't, `tokenizers` itself is used.
+several times as fast, after both libraries agreed on a probe; if they don't, `tokenizers` itself is used. Strings of
+special tokens inside a text become those tokens, as that library has it unless told otherwise.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PROBE = [
     "", " ", "a", " The  quick\tbrown\n\nfox's 123 4th", "Él año, über ß çà — 日本語 😀", "%%% $$$ ### &&& ***", "x\r\n y z w",
-    "I'll we've they're can't 'S", "a\x1cb\x85c", "<|endoftext|>", "{\"k\": [1.5e-7]}", "   lead and trail   ",
+    "I'll we've they're can't 'S", "a\x1cb\x85c", "<|endoftext|>", "x <|endoftext|> y<|endoftext|><|endoftext", "{\"k\": [1.5e-7]}", "   lead and trail   ",
 ]
 
 
@@ -41,12 +42,11 @@ def _byte_of() -> dict[str, int]:
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Callable[[str], list[int]]:
-    """text -> ids without special tokens; strings of special tokens are ordinary text."""
+    """text -> ids as `tokenizers` gives them with add_special_tokens=False."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
 
     def plain(text: str) -> list[int]:
         return own.encode(text, add_special_tokens=False).ids
@@ -56,10 +56,26 @@ def encoder(path: str) -> Callable[[str], list[int]]:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        special = {t["content"]: t["id"] for t in added}
         byte = _byte_of()
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+        ordinary = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+        between = re.compile("|".join(re.escape(t) for t in sorted(special, key=len, reverse=True)) or "(?!)")
+        wide = any(t.get(flag) for t in added for flag in ("lstrip", "rstrip", "single_word", "normalized"))
+
+        def fast(text: str) -> list[int]:
+            found = between.search(text)
+            if not found:
+                return ordinary(text)
+            if wide:  # such tokens take part of the text around them
+                return plain(text)
+            out, at = [], 0
+            for m in between.finditer(text):
+                out += [*ordinary(text[at : m.start()]), special[m[0]]]
+                at = m.end()
+            return out + ordinary(text[at:])
+
         if all(fast(t) == plain(t) for t in _PROBE):
             return fast
     except (ImportError, KeyError, ValueError):

@@ -1,8 +1,8 @@
 """Packing documents into sequences by the sum-of-squares rule.
 
 A bin is a sequence, its gap the room left. A piece goes where the sum over gaps of (open bins with that gap) squared
-becomes smallest; a new bin is opened only if no open one has room, which with the longest pieces first leaves fewer
-bins half empty than opening one whenever that has the smaller sum. Pieces are dealt by a hash into shards of about
+becomes smallest. The plain rule weighs a new bin against the open ones too (`weigh_new`); by default one is opened only
+if no open one has room, which with the longest pieces first leaves fewer bins half empty. Pieces are dealt by a hash into shards of about
 `shard` pieces; each is packed on its own, so no task holds more than a shard whatever the input.
 """
 
@@ -48,8 +48,8 @@ def _tokenize(path: str, length: int):
     return run
 
 
-def place(lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) for each piece, in the order given."""
+def place(lengths: np.ndarray, length: int, weigh_new: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) for each piece, in the order given. Of equal changes the smallest gap is taken, a new bin last."""
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     count = np.zeros(length + 1, np.int64)  # open bins by gap; of gap 0 none counts
     open_: list[list[int]] = [[] for _ in range(length + 1)]
@@ -61,6 +61,8 @@ def place(lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         if s < length and have[0]:
             change[0] = 1 - 2 * have[0]
         best = int(change.argmin()) if s < length else 0
+        if weigh_new and s < length and change[best] > 2 * count[length - s] + 1:
+            change[best] = never
         if s < length and change[best] < never:
             gap = s + best
             b = open_[gap].pop()
@@ -74,18 +76,20 @@ def place(lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, offsets
 
 
-def _pack(length: int):
+def _pack(length: int, weigh_new: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        bins, offsets = place(pdf["length"].to_numpy(), length)
+        bins, offsets = place(pdf["length"].to_numpy(), length, weigh_new)
         return pdf.assign(sequence_id=(pdf["shard"].to_numpy().astype(np.int64) << 32) + bins, offset=offsets).drop(columns="shard")
 
     return run
 
 
-def pack(df: DataFrame, length: int = LENGTH, shard: int = SHARD, path: str | None = None) -> DataFrame:
+def pack(df: DataFrame, length: int = LENGTH, shard: int = SHARD, path: str | None = None, weigh_new: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
+    weigh_new: the plain rule, which opens a sequence whenever that leaves the smaller sum of squares.
+
     A document is its text's ids, then id 0; only a longer one than `length` is cut, and its first piece may be shorter.
 
     * null or empty text: the one id 0. Null doc_id: a document like others; its pieces carry the null.
@@ -98,4 +102,4 @@ def pack(df: DataFrame, length: int = LENGTH, shard: int = SHARD, path: str | No
     shards = max(1, -(-pieces.count() // shard))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return dealt.groupBy("shard").applyInPandas(_pack(length), schema)
+    return dealt.groupBy("shard").applyInPandas(_pack(length, weigh_new), schema)

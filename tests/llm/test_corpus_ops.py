@@ -69,7 +69,6 @@ def check_packing(df, **kw):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(bpe.default_path())
-    t.encode_special_tokens = True
     want = []
     for r in df.select("doc_id", "text").collect():
         ids = np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -96,33 +95,43 @@ def test_packing(documents, nasty, empty):
     assert n <= 1.02 * least + 1
     check_packing(documents, shard=64)
     check_packing(nasty)
+    check_packing(documents, weigh_new=True)
     assert packing.pack(empty).count() == 0
 
 
-def test_place_minimises():
-    """Every choice is one that a plain search over all open bins makes."""
+def test_packing_special_strings(spark):
+    """A special token's string is that token, as the library has it."""
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x" * 70_000 + " y <|endoftext|><|endoftext|>z", "<|endoftext", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    check_packing(df)
+    assert bpe.ids(texts[0], bpe.default_path()).tolist() == [64, 220, 50256, 275]
+
+
+@pytest.mark.parametrize("weigh_new", [False, True])
+def test_place_minimises(weigh_new):
+    """Every choice is one that a plain search over all open bins, and a new one, makes."""
     rng = np.random.default_rng(4)
     lengths = np.sort(rng.integers(1, 41, 300))[::-1]
-    bins, offsets = packing.place(lengths, 40)
+    bins, offsets = packing.place(lengths, 40, weigh_new)
     gaps = {}
     for b, o, s in zip(bins, offsets, lengths, strict=True):
         now = defaultdict(int)
         for g in gaps.values():
             now[g] += 1
-        now[0] = 0
         total = lambda c: sum(n * n for g, n in c.items() if g)
 
         def after(g):
             c = dict(now)
-            c[g] -= 1
-            c[g - s] = c.get(g - s, 0) + (g > s)
+            if g is not None:
+                c[g] -= 1
+            rest = (40 if g is None else g) - s
+            c[rest] = c.get(rest, 0) + 1
             return total(c)
 
         fits = sorted({g for g in gaps.values() if g >= s})
-        if fits:
-            assert after(gaps[b]) == min(after(g) for g in fits)
-        else:
-            assert b not in gaps
+        choices = [after(g) for g in fits] + [after(None)] * (weigh_new or not fits)
+        assert after(gaps.get(b)) == min(choices)
+        assert (b in gaps) or weigh_new or not fits
         gaps[b] = gaps.get(b, 40) - s
         assert o == 40 - gaps[b] - s
 
@@ -131,7 +140,6 @@ def test_bpe_equals_tokenizers(monkeypatch):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(bpe.default_path())
-    t.encode_special_tokens = True
     rng = random.Random(9)
     parts = ["a", "Ab", "'s", " ", "  ", "\n", "\t", "é", "ß", "12", "%%", "日本", "😀", "\x1c", "\x85", "<|endoftext|>", "ing", "\r\n"]
     for _ in range(300):

@@ -2,20 +2,21 @@
 
 Every shuffled document gets a virtual finish time, its source's words so far divided by the source's target. All
 entries are range-sorted by it and cut where their words reach the total budget. Nothing here is sorted in one task:
-a source's running sum is taken over hash buckets of the source, the total one over sort ranges.
+a source's running sum is taken over buckets of its shuffled order, the total one over sort ranges.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import global_rank, materialize, range_parts, word_count
+from .common import global_rank, materialize, range_parts, scratch, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 REPEAT = 2
-BUCKETS = 256
+#: Documents of a bucket, about; buckets are at least so many. Their number doesn't change the mix, only its tasks.
+BUCKET, BUCKETS = 1 << 14, 64
 SEED = 17
 
 
@@ -52,25 +53,61 @@ def mix(
     share: float = SHARE,
     repeat: int = REPEAT,
     seed: int = SEED,
-    buckets: int = BUCKETS,
+    bucket: int = BUCKET,
 ) -> DataFrame:
     """One row per document: id, source, size, source_size, target, finish (of its first copy), copies, taken.
 
     Whole documents are taken, a document at most `repeat` times; in pass p it finishes when p whole passes and the
     documents before it in the source's shuffled order have gone by. A source ends within about a document of its target.
 
-    * null text or no word: size 0, taken 0. Null source: a source of its own, last. Null id: a document like others.
-    * equal finish times: by id. Rows that repeat an id are documents of their own and get a share each.
-    * empty table, or no words at all: all taken 0. Other columns are ignored. Reruns agree: the shuffle is a hash.
+    * null text or no word: size 0, taken 0. Null source: a source of its own, last.
+    * rows that repeat an id are documents of their own, shuffled by id and text. Rows without an id are shuffled by text
+      and their place in the input.
+    * equal finish times: by id, then by text and place. Empty table, or no words at all: all taken 0. Other columns are
+      ignored, whatever their names. Reruns agree: the shuffle is a hash.
     """
+    with scratch(df.sparkSession) as keep:
+        placed, copies = _mixed(df, id_col, F.lit(None).cast("long"), weights, share, repeat, seed, bucket)
+        keep(placed)
+    return _chosen(placed, copies, id_col)
+
+
+def _chosen(placed: DataFrame, copies: Column, id_col: str, *more: str) -> DataFrame:
+    return placed.select(
+        F.col("_id").alias(id_col),
+        "source",
+        "size",
+        "source_size",
+        F.coalesce("target", F.lit(0.0)).alias("target"),
+        _finish(0).alias("finish"),
+        copies.cast("int").alias("copies"),
+        (F.col("size") * copies).cast("long").alias("taken"),
+        *more,
+    )
+
+
+def _finish(p: int) -> Column:
+    """The virtual finish time in pass p."""
+    return F.try_divide(F.col("_upto") + F.lit(p) * F.col("source_size"), F.col("target"))
+
+
+def _mixed(
+    df: DataFrame, id_col: str, row: Column, weights: tuple, share: float, repeat: int, seed: int, bucket: int
+) -> tuple[DataFrame, Column]:
+    """(written rows _row, _id, _u, source, size, _upto, source_size, target; how often each is taken)."""
+    # Rows without an id would all stand at one place of the shuffled order; these go by text and place.
+    place = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
     sized = df.select(
+        row.alias("_row"),
         F.col(id_col).alias("_id"),
         F.col("source"),
         word_count(F.col("text")).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("_u"),
+        F.xxhash64(F.lit(seed), F.col(id_col), place, F.col("text")).alias("_u"),
     )
-    sized = sized.withColumn("_b", F.pmod(F.shiftrightunsigned("_u", 40), F.lit(buckets)).cast("int"))
     sized = materialize(sized, "sized")
+    # Buckets are ranges of the shuffled order, so that their number decides nothing.
+    bits = max(BUCKETS.bit_length() - 1, (sized.count() // bucket).bit_length())
+    sized = sized.withColumn("_b", F.shiftrightunsigned("_u", 64 - bits))
     cells = sized.groupBy("source", "_b").agg(F.sum("size").alias("_cell"))
     cells = materialize(cells, "cells")
     aims = targets(cells.groupBy("source").agg(F.sum("_cell").alias("source_size")), weights, share, repeat)
@@ -82,58 +119,60 @@ def mix(
     joined = joined.select("d.*", "c._before", "c.source_size", "c.target")
     within = Window.partitionBy("source", "_b").orderBy("_u", F.col("_id").asc_nulls_last(), "size")
     upto = F.col("_before") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0))
-    placed = materialize(joined.withColumn("_upto", upto).drop("_before", "_u", "_b"), "placed")
-
-    def finish(p: int):
-        return F.try_divide(F.col("_upto") + F.lit(p) * F.col("source_size"), F.col("target"))
-
+    placed = materialize(joined.withColumn("_upto", upto).drop("_before", "_b"), "placed")
     entries = placed.filter("size > 0").select(
-        "_id", "size", F.posexplode(F.array(*[finish(p) for p in range(repeat)])).alias("_pass", "_f")
+        "_id", "_u", "size", F.posexplode(F.array(*[_finish(p) for p in range(repeat)])).alias("_pass", "_f")
     )
-    order = ["_f", "_id", "_pass"]
-    dealt = range_parts(entries, [F.col(c).asc_nulls_last() for c in order], "entries")
+    order = ["_f", "_id", "_u", "_pass"]
+    asc = [F.col(c).asc_nulls_last() for c in order]
+    dealt = range_parts(entries, asc, "entries")
     budget = (aims.agg(F.sum("target")).first()[0]) or 0.0
     before, cut = 0, None
     for part, words in dealt.groupBy("_part").agg(F.sum("size")).orderBy("_part").toLocalIterator():
         if before + words > budget + 1e-6:
-            asc = [F.col(c).asc_nulls_last() for c in order]
             total = F.sum("size").over(Window.partitionBy("_part").orderBy(*asc).rowsBetween(Window.unboundedPreceding, 0))
             rows = dealt.filter(F.col("_part") == part).withColumn("_total", total + F.lit(before))
             # The entry on the border goes in if that leaves the total nearer to the budget.
             near = F.col("_total") - F.col("size") / 2 <= F.lit(budget)
             last = rows.filter(near).orderBy(*[F.col(c).desc_nulls_first() for c in order]).select(*order).first()
-            cut = last or (float("-inf"), None, -1)
+            cut = last or (float("-inf"), None, 0, -1)
             break
         before += words
     if cut is None:
         copies = F.lit(repeat)
     else:
-        f, i, p = (F.lit(x) for x in cut)
+        f, i, u, _ = (F.lit(x) for x in cut)
         copies = F.lit(0)
         for k in range(repeat):
-            tie = F.col("_id").isNotNull() if cut[1] is None else (F.col("_id") < i)
-            same = F.col("_id").eqNullSafe(i) & F.lit(k <= cut[2])
-            copies = copies + F.when((finish(k) < f) | ((finish(k) == f) & (F.coalesce(tie, F.lit(False)) | same)), 1).otherwise(0)
-    copies = F.when(F.col("size") > 0, copies).otherwise(0)
-    return placed.select(
-        F.col("_id").alias(id_col),
-        "source",
-        "size",
-        "source_size",
-        F.coalesce("target", F.lit(0.0)).alias("target"),
-        finish(0).alias("finish"),
-        copies.cast("int").alias("copies"),
-        (F.col("size") * copies).cast("long").alias("taken"),
-    )
+            # The order of `asc`, against the last entry that is in.
+            same = F.col("_id").eqNullSafe(i)
+            sooner = F.col("_id").isNotNull() if cut[1] is None else F.coalesce(F.col("_id") < i, F.lit(False))
+            tie = (~same & sooner) | (same & ((F.col("_u") < u) | ((F.col("_u") == u) & F.lit(k <= cut[3]))))
+            copies = copies + F.when((_finish(k) < f) | ((_finish(k) == f) & tie), 1).otherwise(0)
+    return placed, F.when(F.col("size") > 0, copies).otherwise(0)
 
 
-def mixed(df: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The rows of df as often as the mix takes them, with their columns as they were.
+def mixed(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    weights: tuple = WEIGHTS,
+    share: float = SHARE,
+    repeat: int = REPEAT,
+    seed: int = SEED,
+    bucket: int = BUCKET,
+) -> DataFrame:
+    """The rows of df as often as the mix takes them, with their columns as they were; the order says nothing.
 
-    Rows that repeat an id are each taken as often as they are on average, rounded up.
+    Every row is taken as often as `mix` says of it, also where ids are null or repeat. Null and empty texts are not taken.
+    Empty table: empty.
     """
-    name, count = "__quadrille_taken", "__quadrille_copies"
-    copies = mix(df, id_col, **kw).groupBy(id_col).agg(F.avg("copies").alias(count)).filter(F.col(count) > 0)
-    copies = copies.select(F.col(id_col).alias(name), F.sequence(F.lit(1), F.ceil(count).cast("int")).alias(count))
-    out = df.join(copies, df[id_col].eqNullSafe(copies[name]))
-    return out.withColumn(count, F.explode(count)).select(*[df[c] for c in df.columns])
+    row, count = "__quadrille_row", "__quadrille_copies"
+    with scratch(df.sparkSession) as keep:
+        # Rows get a number that the write fixes: ids may repeat.
+        numbered = materialize(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        placed, copies = _mixed(numbered, id_col, F.col(row), weights, share, repeat, seed, bucket)
+        keep(numbered, placed)
+    taken = _chosen(placed, copies, id_col, "_row").filter("copies > 0")
+    taken = taken.select(F.col("_row").alias(row), F.sequence(F.lit(1), F.col("copies")).alias(count))
+    out = numbered.join(taken, row).withColumn(count, F.explode(count))
+    return out.select(*[numbered[c] for c in df.columns])

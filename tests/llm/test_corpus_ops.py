@@ -59,12 +59,60 @@ def test_mix_edges(empty, nasty, documents):
     assert source_mix.mix(empty).count() == 0
     silent = source_mix.mix(nasty.filter("doc_id in (3, 4, 5)")).collect()
     assert [(r["size"], r.taken, r.target) for r in silent] == [(0, 0, 0.0)] * 3
+    assert source_mix.mixed(empty).count() == 0
     out = source_mix.mixed(documents)
     assert out.columns == documents.columns
     copies = {r.doc_id: r.copies for r in source_mix.mix(documents).collect()}
     assert {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()} == {i: n for i, n in copies.items() if n}
 
 
+def queued(rows, order, weights=(5, 2, 1), share=1.5, repeat=2):
+    """How often each row (id, source, size) is taken, by a plain fair queue; `order` is each row's place in the shuffle."""
+    sizes = defaultdict(int)
+    for _, source, size in rows:
+        sizes[source] += size
+    want, entries, seen = brute_targets(sizes), [], defaultdict(int)
+    for n in sorted(range(len(rows)), key=lambda n: order[n]):
+        i, source, size = rows[n]
+        seen[source] += size
+        entries += [((seen[source] + p * sizes[source]) / want[source], i, p, n) for p in range(repeat) if size]
+    total, left, taken = 0, sum(want.values()), [0] * len(rows)
+    for _, _, _, n in sorted(entries):
+        if total + rows[n][2] / 2 > left:
+            break
+        total += rows[n][2]
+        taken[n] += 1
+    return taken
+
+
+def test_mix_is_the_fair_queue(spark):
+    """Against a plain queue over the same shuffled order, and whatever the number of buckets."""
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "b", "b", "c", None]), rng.choice([0, 1, 5, 40])) for i in range(400)]
+    df = spark.createDataFrame([(i, s, "w " * n) for i, s, n in rows], "doc_id long, source string, text string")
+    u = {r.doc_id: r.u % (1 << 64) for r in df.select("doc_id", F.xxhash64(F.lit(17), "doc_id", F.lit(None).cast("long"), "text").alias("u")).collect()}
+    want = queued(rows, [u[i] for i, _, _ in rows])
+    for bucket in (1 << 14, 2):
+        got = {r.doc_id: r.copies for r in source_mix.mix(df, bucket=bucket).collect()}
+        assert [got[i] for i, _, _ in rows] == want
+
+
+def test_mixed_takes_what_mix_says(spark):
+    """Repeated ids and rows, and rows without an id: each taken as often as said, and targets met."""
+    rows = [(i % 7, f"s{i % 2}", "w " * (i % 5)) for i in range(60)] + [(None, "s0", "w w"), (None, "s0", "w w"), (None, None, "v")] * 6 + [(3, "s1", "x x x")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4).persist()
+    check_mix(df)
+    out = source_mix.mixed(df)
+    said = defaultdict(int)
+    for r in source_mix.mix(df).collect():
+        said[r.doc_id, r.source, r["size"]] += r.copies
+    got = defaultdict(int)
+    for r in out.collect():
+        got[r.doc_id, r.source, len((r.text or "").split())] += 1
+    assert got == {k: n for k, n in said.items() if n}
+    df.unpersist()
+
+
 def check_packing(df, **kw):
     from tokenizers import Tokenizer
 

@@ -2,7 +2,8 @@
 
 A document is a bag of hashed byte trigrams drawn from a mixture of languages. Expectation-maximisation finds the
 proportions from the trigrams' likelihoods; of the nested sets of its likeliest languages, the one of greatest
-likelihood less a penalty a language is kept.
+likelihood less a penalty a language is kept. Sets grow until no larger one can win: the likelihood of any mixture is
+bounded by that of the present one and the largest factor by which a round would raise a language's share.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ BUCKETS, SAMPLE = 1 << 13, 4000
 #: About so many likelihoods (trigrams by languages) are worked on at once.
 CELLS = 1 << 22
 FOLDS, HELD = 5, 0
-#: Languages that stay candidates after the first rounds; rounds over all languages, and for each nested set.
-CANDIDATES, ROUNDS, MORE = 6, 10, 4
+#: Rounds over all languages, and for each nested set.
+ROUNDS, MORE = 10, 4
 #: Penalty of a language in units of log(trigrams) / 2. Overlapping trigrams tell a thing three times, hence over 1.
 PENALTY = 6.0
 NONE = "und"
@@ -121,30 +122,42 @@ def infer(counts: np.ndarray, probs: np.ndarray, penalty: float = PENALTY) -> np
     return out
 
 
+def _ceiling(p: np.ndarray, c: np.ndarray, at: np.ndarray, of: np.ndarray, pi: np.ndarray, fit: np.ndarray) -> np.ndarray:
+    """What the log likelihood of no mixture exceeds, from one of proportions pi: the log is concave."""
+    total = np.add.reduceat(c, at)
+    factor = np.add.reduceat(p * (c / (p * pi[of]).sum(1))[:, None], at, axis=0).max(1) / total
+    return fit + total * np.log(np.maximum(factor, 1.0))
+
+
 def _infer(counts: np.ndarray, probs: np.ndarray, penalty: float) -> np.ndarray:
     """infer for rows that all have trigrams."""
-    full = np.arange(len(counts))
-    out = np.zeros((len(counts), probs.shape[1]))
-    of, bucket = np.nonzero(counts[full])
-    c = counts[full][of, bucket].astype(float)
-    at = np.searchsorted(of, np.arange(len(full)))
+    rows, width = len(counts), probs.shape[1]
+    of, bucket = np.nonzero(counts)
+    c = counts[of, bucket].astype(float)
+    at = np.searchsorted(of, np.arange(rows))
     p = probs[bucket]
-    pi = np.full((len(full), probs.shape[1]), 1.0 / probs.shape[1])
-    pi, _ = _proportions(p, c, at, of, pi, ROUNDS)
-    order = np.argsort(-pi, axis=1, kind="stable")[:, :CANDIDATES]
-    p = np.take_along_axis(p, order[of], 1)
-    pi = np.take_along_axis(pi, order, 1)
+    pi, fit = _proportions(p, c, at, of, np.full((rows, width), 1.0 / width), ROUNDS)
+    most = _ceiling(p, c, at, of, pi, fit)
+    order = np.argsort(-pi, axis=1, kind="stable")
+    p, pi = np.take_along_axis(p, order[of], 1), np.take_along_axis(pi, order, 1)
     cost = penalty * np.log(np.add.reduceat(c, at) + 1.0) / 2
-    best, kept = np.full(len(full), -np.inf), np.zeros_like(pi)
-    for k in range(1, pi.shape[1] + 1):
-        some = np.where(np.arange(pi.shape[1]) < k, np.maximum(pi, 1e-9), 0)
-        some, fit = _proportions(p, c, at, of, some / some.sum(1, keepdims=True), MORE if k > 1 else 0)
-        fit = fit - cost * (k - 1)
-        better = fit > best
-        best[better], kept[better] = fit[better], some[better]
-    part = np.zeros((len(full), probs.shape[1]))
-    np.put_along_axis(part, order, kept, 1)
-    out[full] = part
+    best, kept, open_ = np.full(rows, -np.inf), np.zeros_like(pi), np.arange(rows)
+    for k in range(1, width + 1):
+        some = np.flatnonzero(np.isin(of, open_))
+        own = np.searchsorted(open_, of[some])
+        first = np.searchsorted(own, np.arange(len(open_)))
+        share = np.maximum(pi[open_, :k], 1e-9)
+        share, fit = _proportions(p[some, :k], c[some], first, own, share / share.sum(1, keepdims=True), MORE if k > 1 else 0)
+        fit = fit - cost[open_] * (k - 1)
+        better = fit > best[open_]
+        won = open_[better]
+        best[won], kept[won] = fit[better], 0.0
+        kept[won, :k] = share[better]
+        open_ = open_[most[open_] - cost[open_] * k > best[open_]]
+        if not len(open_):
+            break
+    out = np.zeros((rows, width))
+    np.put_along_axis(out, order, kept, 1)
     return out
 
 

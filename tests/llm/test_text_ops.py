@@ -1,5 +1,6 @@
 import hashlib
 import io
+import math
 import random
 import re
 import wave
@@ -222,6 +223,73 @@ def test_language_mixture():
     assert not pi[2].any() and not pi[3].any()
 
 
+def test_mixture_of_many_languages():
+    """A document in eight languages of ten keeps all eight."""
+    rng, probs = random.Random(4), []
+    says = [lambda n, i=i: " ".join("".join(rng.choices([chr(0x4E00 + 60 * i + j) for j in range(40)], k=2)) for _ in range(n)) for i in range(10)]
+    count = lambda t: language_id.trigram_counts(*textbytes.utf8(pa.array(t)))
+    probs = np.stack([count([say(3000)])[0] + 0.5 for say in says], 1)
+    probs /= probs.sum(0)
+    pi = language_id.infer(count([" ".join(say(200) for say in says[:8]), says[9](50)]), probs)
+    assert (pi[0] > 0.08).tolist() == [True] * 8 + [False] * 2 and (pi[1] > 0).sum() == 1
+
+
+def plain_trigrams(text):
+    """bucket -> count, byte by byte."""
+    letters = [32, *(b if b > 127 or 97 <= b < 123 else b + 32 if 65 <= b < 91 else 32 for b in (text or "").encode()), 32]
+    found = Counter()
+    for a, b, c in zip(letters, letters[1:], letters[2:], strict=False):
+        if b != 32:
+            found[(((a << 16 | b << 8 | c) * 0x9E3779B1) % (1 << 32)) >> 19] += 1
+    return found
+
+
+def plain_em(counts, columns, pi, rounds):
+    for _ in range(rounds):
+        new = [0.0] * len(pi)
+        for b, n in counts.items():
+            w = [q * col[b] for q, col in zip(pi, columns, strict=True)]
+            new = [x + n * y / sum(w) for x, y in zip(new, w, strict=True)]
+        pi = [x / sum(counts.values()) for x in new]
+    return pi, sum(n * math.log(sum(q * col[b] for q, col in zip(pi, columns, strict=True))) for b, n in counts.items())
+
+
+def plain_language(text, langs, columns):
+    """(lang_pred, score), with every nested set tried."""
+    counts = plain_trigrams(text)
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    pi, _ = plain_em(counts, columns, [1 / len(langs)] * len(langs), language_id.ROUNDS)
+    order = sorted(range(len(langs)), key=lambda i: -pi[i])
+    best = None
+    for k in range(1, len(langs) + 1):
+        some = [max(pi[i], 1e-9) for i in order[:k]]
+        share, fit = plain_em(counts, [columns[i] for i in order[:k]], [x / sum(some) for x in some], language_id.MORE if k > 1 else 0)
+        fit -= (k - 1) * language_id.PENALTY * math.log(sum(counts.values()) + 1) / 2
+        if best is None or fit > best[0]:
+            best = (fit, dict(zip(order, share, strict=False)))
+    top = max(best[1], key=lambda i: (best[1][i], -i))
+    return langs[top], best[1][top]
+
+
+def test_language_against_plain(spark, documents):
+    """The query against a plain version of training, EM and selection, on whole texts."""
+    short = documents.filter("length(text) < 700").orderBy("doc_id").limit(36).collect()
+    mixed = [(1000 + i, a.text + " " + b.text, a.lang) for i, (a, b) in enumerate(zip(short, short[1:], strict=False))][:8]
+    rows = [(r.doc_id, r.text, r.lang) for r in short] + mixed + [(2000, None, "en"), (2001, "1 2 3", None), (2002, "日本", None)]
+    got = {r.doc_id: r for r in language_id.predict_all(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    learned = [(t, g) for i, t, g in rows if g is not None and zlib.crc32(str(i).encode()) % 5]
+    langs, columns = sorted({g for _, g in learned}), []
+    for lang in langs:
+        total = sum((plain_trigrams(t) for t, g in learned if g == lang), Counter())
+        whole = sum(total.values()) + 0.5 * 8192
+        columns.append({b: (total[b] + 0.5) / whole for b in range(8192)})
+    for i, text, _ in rows:
+        name, score = plain_language(text, langs, columns)
+        assert got[i].lang_pred == name and abs(got[i].score - score) < 1e-6
+    assert sum("," in r.mixture for r in got.values()) > 0
+
+
 def test_quality(spark, sf, documents, nasty, empty):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     out = quality.score_all(documents, labels).toPandas().merge(labels.toPandas(), on="doc_id")

@@ -215,11 +215,12 @@ def test_long_words_are_known(spark):
 
 
 def test_bayes_on_held_out_pages(spark, sf):
-    """Learned from half of the pages that rules decide, the score agrees with the rules on the others."""
+    """Learned from half of the pages that rules decide, the score agrees with the rules on the others, but for the two
+    rules that go by a page number's first digit: tokens hold a number's length only, so no score can follow these."""
     pages = spark.read.parquet(f"{sf}/../sf0.1/pages.parquet")
     out = url_filter.judge(pages, learn=F.col("page_id") % 2 == 0).filter("rule is not null and page_id % 2 = 1").collect()
-    right = sum((r.score >= 0.5) == (r.verdict == "block") for r in out)
-    assert len(out) > 300 and right / len(out) > 0.9
+    by_words = [r for r in out if not r.rule[-1].isdigit()]
+    assert len(by_words) > 300 and all((r.score >= 0.5) == (r.verdict == "block") for r in by_words)
 
 
 def test_bayes_learns(spark):

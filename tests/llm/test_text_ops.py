@@ -5,13 +5,14 @@ import random
 import re
 import wave
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quadrille.llm import language_id, license_scan, media, quality, textbytes, url_filter
+from quadrille.llm import language_id, license_scan, license_texts, media, quality, textbytes, url_filter
+from quadrille.llm.license_scan import template_grams
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -81,6 +82,74 @@ def test_license_spans(spark):
     assert (spans[1]["first"], spans[1]["last"]) == (500, 500 + len(words) - 1)
 
 
+def plain_spans(text):
+    """(labels of the method, best cover) by plain loops over words and templates."""
+    w = WORD.findall((text or "").translate(FOLD))
+    found, best, k = set(), 0.0, license_scan.GRAM
+    for phrase, label in license_scan.PHRASES.items():
+        p = phrase.split()
+        if any(w[i : i + len(p)] == p for i in range(len(w))):
+            found, best = found | {label}, 1.0
+    for label, notice in license_scan.NOTICES:
+        t = WORD.findall(notice.translate(FOLD))
+        votes, size = defaultdict(list), len(t) - k + 1
+        for i in range(len(w) - k + 1):
+            for j in range(size):
+                if w[i : i + k] == t[j : j + k]:
+                    votes[i - j].append((i, j))
+        runs, slack = [], max(license_scan.SLACK, int(size * license_scan.DRIFT))
+        for d in sorted(votes):
+            if not runs or d - runs[-1][0] > slack:
+                runs.append([d, []])
+            runs[-1][0] = d
+            runs[-1][1] += votes[d]
+        for _, hits in runs:
+            width = max(i for i, _ in hits) + k - min(i for i, _ in hits)
+            cover = len({j for _, j in hits}) / size
+            if cover >= license_scan.COVER and width <= len(t) * license_scan.STRETCH:
+                found, best = found | {label}, max(best, cover)
+    return ",".join(sorted(found)), best
+
+
+def test_license_labels_against_plain(spark, documents):
+    """The method's labels and scores, with templates edited in many ways, against plain loops."""
+    rng, texts = random.Random(6), [r.text for r in documents.filter("text like '%icense%' or text like '%icensed%'").limit(12).collect()]
+    for _, notice in license_scan.NOTICES:
+        w = notice.split()
+        for edits in (0, len(w) // 12, len(w) // 3):
+            own = list(w)
+            for _ in range(edits):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randrange(2)] = [f"new{rng.randrange(99)}"] * rng.randrange(3)
+            texts.append(" ".join(["before"] * rng.randrange(40) + own + ["é after"] * rng.randrange(9)))
+    texts += ["", None, "of the", license_scan.NOTICES[0][1] + license_scan.NOTICES[2][1], license_scan.NOTICES[0][1] * 2]
+    df = spark.createDataFrame([(i, t, "x", 3) for i, t in enumerate(texts)], "doc_id long, text string, label string, template int")
+    got = {r.doc_id: r for r in license_scan.labels(df.repartition(3)).collect()}
+    for i, t in enumerate(texts):
+        names, cover = plain_spans(t)
+        assert got[i].labels == names and abs(got[i].score - cover) < 1e-9
+
+
+def test_license_hash_alone_is_no_hit(spark, monkeypatch):
+    """Grams whose hashes clash don't vote: the words are compared."""
+    monkeypatch.setattr(license_scan, "template_grams", lambda text, k: [(h, b"other words here ") for h, _ in template_grams(text, k)])
+    df = spark.createDataFrame([(1, "released under the MIT License")], "doc_id long, text string")
+    assert license_scan.labels(df).first().labels == ""
+
+
+def test_license_texts_from_a_folder(spark, tmp_path):
+    """Whole licences, thousands of words long, are found in a long text, shifted and edited."""
+    rng = random.Random(2)
+    whole = [f"w{rng.randrange(900)}" for _ in range(3000)]
+    (tmp_path / "GRAND-1.0").write_text(" ".join(whole))
+    notices = license_texts.from_folder(str(tmp_path))
+    assert [label for label, _ in notices] == ["grand-1.0"]
+    edited = whole[:1000] + ["extra"] * 30 + whole[1100:]
+    rows = [(1, " ".join(["x"] * 700 + edited)), (2, " ".join(whole[:500])), (3, "x y z")]
+    by = {r.doc_id: r for r in license_scan.labels(spark.createDataFrame(rows, "doc_id long, text string"), notices=notices).collect()}
+    assert (by[1].labels, by[2].labels, by[3].labels) == ("grand-1.0", "", "") and 0.9 < by[1].score < 1
+
+
 def brute_media(text):
     data = (text or "").encode()
     full = data + b" " * ((-len(data)) % 192 or (0 if data else 192))

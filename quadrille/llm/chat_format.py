@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Opening and closing mark of a turn, and which roles are trained on. `open` holds {name}.
@@ -52,29 +52,36 @@ def _role(name: Column, t: dict) -> Column:
 def format_chats(df: DataFrame, template: dict = TEMPLATE) -> DataFrame:
     """One row per conversation from rows (conv_id, turn, role, text).
 
-    Returns conv_id; segments, an array of (text, loss) in order; formatted, their concatenation; state, the machine's
-    last state (`error` from the first turn that may not follow); valid, whether it ended in an end state.
+    Returns conv_id; segments, an array of (text, loss) in order; formatted, their concatenation; loss_spans, where in the
+    formatted text the loss counts, as (start, bytes) in UTF-8; state, the machine's last state (`error` from the first
+    turn that may not follow); valid, whether it ended in an end state.
 
     * turns are ordered by (turn, role, text), nulls first; repeated rows are turns of their own.
     * null text: empty; null role: the empty role, unknown to the template. Such conversations are formatted, not valid.
-    * null conv_id: these rows form one conversation. Empty table: empty result. Other columns are ignored.
+    * null conv_id: these rows form one conversation. Empty table: empty result. Other columns are ignored, whatever
+      their names.
 
     A conversation is one output row, so its turns meet in one task by definition.
     """
     t = template
     empty = F.lit("")
-    turn = F.struct(F.col("turn"), F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
-    chats = df.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     before, after = (F.lit(x) for x in t["open"].split("{name}"))
     close, no = F.lit(t["close"]), F.lit(False)
     steps = _map({f"{s}\n{r}": r for s, roles in t["turns"].items() for r in roles})
+    rows = df.select("conv_id", "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
+    rows = rows.withColumns({"opening": F.concat(before, _name(F.col("role"), t), after), "body": escaped(F.col("text"), t["escape"])})
+    # Where each turn's text begins: a running sum in the conversation's order, kept with the turn.
+    line = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    length = lambda c: F.octet_length(c).cast("long")
+    ends = F.sum(length("opening") + length("body") + length(close)).over(line)
+    rows = rows.withColumn("start", ends - length(close) - length("body"))
+    turn = F.struct("turn", "role", "text", "start", "opening", "body")
+    chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
     def segment(x: Column) -> Column:
-        opening = F.concat(before, _name(x["role"], t), after)
-        body = escaped(x["text"], t["escape"])
         return F.array(
-            F.struct(opening.alias("text"), no.alias("loss")),
-            F.struct(body.alias("text"), x["role"].isin(t["loss"]).alias("loss")),
+            F.struct(x["opening"].alias("text"), no.alias("loss")),
+            F.struct(x["body"].alias("text"), x["role"].isin(t["loss"]).alias("loss")),
             F.struct(close.alias("text"), no.alias("loss")),
         )
 
@@ -82,9 +89,11 @@ def format_chats(df: DataFrame, template: dict = TEMPLATE) -> DataFrame:
         return F.coalesce(steps[F.concat(state, F.lit("\n"), x["role"])], F.lit("error"))
 
     state = F.aggregate("turns", F.lit("start"), step)
-    out = chats.select("conv_id", F.flatten(F.transform("turns", segment)).alias("segments"), state.alias("state"))
+    trained = F.filter("turns", lambda x: x["role"].isin(t["loss"]))
+    spans = F.transform(trained, lambda x: F.struct(x["start"].alias("start"), length(x["body"]).alias("bytes")))
+    out = chats.select("conv_id", F.flatten(F.transform("turns", segment)).alias("segments"), state.alias("state"), spans.alias("loss_spans"))
     joined = F.array_join(F.transform("segments", lambda s: s["text"]), "")
-    return out.select("conv_id", "segments", joined.alias("formatted"), "state", F.col("state").isin(t["end"]).alias("valid"))
+    return out.select("conv_id", "segments", joined.alias("formatted"), "loss_spans", "state", F.col("state").isin(t["end"]).alias("valid"))
 
 
 def read_turns(formatted: Column, template: dict = TEMPLATE) -> Column:
@@ -101,10 +110,15 @@ def read_turns(formatted: Column, template: dict = TEMPLATE) -> Column:
     return F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), turn)
 
 
-def read_loss(segments: Column, template: dict = TEMPLATE) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    kept = F.filter(segments, lambda s: s["loss"])
-    return F.array_join(F.transform(kept, lambda s: unescaped(s["text"], template["escape"])), "")
+def read_loss(formatted: Column, spans: Column, template: dict = TEMPLATE) -> Column:
+    """All text that the loss spans mark in a formatted conversation, unescaped, nothing between."""
+
+    def read(data: Column) -> Column:
+        cut = lambda s: F.decode(F.substr(data, (s["start"] + 1).cast("int"), s["bytes"].cast("int")), "UTF-8")
+        return F.array_join(F.transform(spans, lambda s: unescaped(cut(s), template["escape"])), "")
+
+    # Bound once, so that the text isn't turned into bytes for each span.
+    return F.element_at(F.transform(F.array(formatted.cast("binary")), read), 1)
 
 
 #: A conversation that holds the template's own marks inside its texts.
@@ -123,11 +137,11 @@ def with_hard_case(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
 
 def digests(chats: DataFrame, template: dict = TEMPLATE) -> DataFrame:
-    """The digest columns, read back from formatted text and segments."""
+    """The digest columns, read back from the formatted text and its loss spans."""
     back = chats.select(
         "conv_id",
         read_turns(F.col("formatted"), template).alias("turns"),
-        read_loss(F.col("segments"), template).alias("loss"),
+        read_loss(F.col("formatted"), F.col("loss_spans"), template).alias("loss"),
         F.length("formatted").cast("long").alias("formatted_chars"),
         "valid",
     )

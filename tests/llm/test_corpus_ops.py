@@ -224,6 +224,8 @@ def test_chat(spark):
     assert got[7].n_turns == 2 and got[None].n_turns == 1
     for r in made.collect():
         assert r.formatted == "".join(s.text for s in r.segments) and r.formatted.count("</turn>") * 3 == len(r.segments)
+        whole, under = r.formatted.encode(), [s.text.encode() for s in r.segments if s.loss]
+        assert [whole[s.start : s.start + s.bytes] for s in r.loss_spans] == under
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 

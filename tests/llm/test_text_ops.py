@@ -174,6 +174,33 @@ def test_media(nasty, empty):
     assert media.media_columns(empty).count() == 0
 
 
+def plain_feature(text):
+    """The feature string, frame by frame and pair by pair."""
+    data = (text or "").encode()
+    data += b" " * ((-len(data)) % 192 or (0 if data else 192))
+    x = (np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128
+    window = np.hanning(192).astype(np.float32)
+    spectra = [np.abs(np.fft.rfft(x[i : i + 192] * window)).astype(np.float32) for i in range(0, len(x) - 191, 96)]
+    loud = []
+    for i, s in enumerate(spectra):
+        top = max(range(2, len(s)), key=lambda b: (s[b], -b))
+        around = [spectra[j][top] for j in (i - 1, i + 1) if 0 <= j < len(spectra)]
+        if s[top] > 0 and all(s[top] >= v for v in around):
+            loud.append((i, top))
+    pairs = []
+    for n, (t, f) in enumerate(loud):
+        pairs += [(t, f << 16 | g << 8 | (u - t)) for u, g in loud[n + 1 : n + 1 + media.FAN] if u - t <= media.REACH]
+    pairs.sort()
+    raw = np.array([t for t, _ in pairs], np.int32).tobytes() + np.array([c for _, c in pairs], np.int32).tobytes()
+    return f"frames={len(spectra)};peaks={len(loud)};pairs={len(pairs)};id={hashlib.sha256(raw).hexdigest()[:16]}"
+
+
+def test_media_features_against_plain(documents, nasty):
+    rows = documents.orderBy("doc_id").limit(40).select("doc_id", "text").unionByName(nasty.select("doc_id", "text"))
+    for r in media.media_columns(rows).collect():
+        assert r.feature == plain_feature(media.from_wav(bytes(r.media))[: r.n_bytes].decode())
+
+
 def test_fingerprint_slabs(monkeypatch):
     x = np.random.default_rng(1).integers(0, 256, 192 * 60).astype(np.uint8)
     whole = media.fingerprint(x)

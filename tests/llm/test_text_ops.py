@@ -471,6 +471,80 @@ def test_quality(spark, sf, documents, nasty, empty):
     assert kept.columns == documents.columns and 0 < kept.count() < documents.count()
 
 
+def plain_passages(text, size=quality.PASSAGE):
+    """Features of each passage, word by word."""
+    raw = (text or "").encode()
+    words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    if not words:
+        return [[0.0] * quality.FEATURES]
+    out, fold = [], bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    hash_of = lambda w: int(textbytes.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    mix = lambda x: int(textbytes.mix(np.array([x % (1 << 64)], np.uint64))[0])
+    kind = lambda b: 0 if 97 <= b < 123 else 1 if 65 <= b < 91 else 2 if 48 <= b < 58 else 4 if b > 127 else 3
+    for at in range(0, len(words), size):
+        own = words[at : at + size]
+        n, texts = len(own), [raw[a:b] for a, b in own]
+        length, chars = [len(t) for t in texts], sum(len(t) for t in texts)
+        kinds = [Counter(kind(b) for b in t) for t in texts]
+        letters = [k[0] + k[1] + k[4] for k in kinds]
+        ids = [hash_of(t.translate(fold)) for t in texts]
+        pairs = [mix(a * 0xD6E8FEB86659FD93 + b) for a, b in zip(ids, ids[1:], strict=False)]
+        mark = lambda t: chr(t[-1]) in ".,;:!?"
+        mean = chars / n
+        breaks = [at + i > 0 and b"\n" in raw[words[at + i - 1][1] : own[i][0]] for i in range(n)]
+        rows = [
+            mean / 10, math.sqrt(max(0.0, sum(x * x for x in length) / n - mean**2)) / 10, math.log1p(n) / 4,
+            *(sum(k[j] for k in kinds) / chars for j in range(5)),
+            sum(x == k[1] and x > 1 for x, k in zip(letters, kinds, strict=True)) / n, sum(x == 0 for x in letters) / n, sum(x == 1 for x in length) / n,
+            sum(a == b for a, b in zip(ids, ids[1:], strict=False)) / n, len(set(ids)) / n, len({0, *pairs}) / n,
+            sum(k[1] > 0 for k in kinds) / n, sum(mark(t) for t in texts) / n, sum(kind(t[-1]) == 3 and not mark(t) for t in texts) / n,
+            sum(k[3] > 1 for k in kinds) / n, sum(x > 20 for x in length) / n, sum(breaks) / n,
+            sum(k[2] > 0 and x > 0 for k, x in zip(kinds, letters, strict=True)) / n, sum(k[2] == x for k, x in zip(kinds, length, strict=True)) / n,
+        ]
+        said = Counter(mix(h) >> 56 for h in ids + pairs)
+        out.append(rows + [math.sqrt(said[j] / (2 * n)) for j in range(quality.GRAMS)])
+    return out
+
+
+def plain_score(model, bag):
+    """Gated attention over one bag, passage by passage."""
+    p, weights, hidden = model.p, [], []
+    for row in bag:
+        x = [max(-6.0, min(6.0, (v - m) / s)) for v, m, s in zip(np.float32(row), model.mean, model.scale, strict=True)]
+        h = [math.tanh(sum(v * w for v, w in zip(x, p["W"][:, j], strict=True)) + p["b"][j]) for j in range(quality.WIDTH)]
+        t = [math.tanh(sum(v * w for v, w in zip(h, p["V"][:, j], strict=True))) for j in range(quality.GATE)]
+        g = [1 / (1 + math.exp(-sum(v * w for v, w in zip(h, p["U"][:, j], strict=True)))) for j in range(quality.GATE)]
+        weights.append(math.exp(sum(a * b * c for a, b, c in zip(t, g, p["a"], strict=True))))
+        hidden.append(h)
+    z = [sum(w * h[j] for w, h in zip(weights, hidden, strict=True)) / sum(weights) for j in range(quality.WIDTH)]
+    return 1 / (1 + math.exp(-(sum(v * w for v, w in zip(z, p["c"], strict=True)) + p["d"])))
+
+
+def test_quality_against_plain(spark, sf, documents, nasty):
+    """The query's scores against plain features and attention, on whole texts; learning gives the same model again."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(documents, labels.filter(~quality.held_out()))
+    again = quality.train(documents.repartition(7), labels.filter(~quality.held_out()))
+    assert np.allclose(model.flat(), again.flat(), rtol=1e-6, atol=1e-9)
+    got = {r.doc_id: r.score for r in quality.score_all(documents, labels).collect()}
+    for r in documents.orderBy("doc_id").limit(40).collect():
+        assert abs(got[r.doc_id] - plain_score(model, plain_passages(r.text))) < 1e-5
+    odd = {(r.doc_id, r.score) for r in quality.score(nasty.filter("doc_id <> 7 and doc_id <> 8"), model).collect()}
+    for r in nasty.filter("doc_id <> 7 and doc_id <> 8").select("doc_id", "text").collect():
+        assert any(i == r.doc_id and abs(s - plain_score(model, plain_passages(r.text))) < 1e-5 for i, s in odd)
+
+
+def test_accept_edges(spark, sf, documents, nasty, empty):
+    """Empty and repeated rows, ties at the threshold: a row stays if its score reaches it, all columns as they were."""
+    model = quality.train(documents, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert quality.accept(empty, model).count() == 0
+    scores = {r.doc_id: r.score for r in quality.score(nasty, model).collect()}
+    for bar in (0.0, scores[1], 1.1):
+        kept = quality.accept(nasty, model, bar)
+        assert kept.columns == nasty.columns
+        assert Counter(r.doc_id for r in kept.collect() if r.doc_id) == Counter(r.doc_id for r in nasty.collect() if r.doc_id and scores[r.doc_id] >= bar)
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     x, of, label = rng.normal(size=(7, quality.FEATURES)), np.array([0, 0, 0, 1, 1, 2, 2]), np.array([1.0, 0.0, 1.0])

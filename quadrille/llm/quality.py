@@ -216,7 +216,7 @@ def train(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int =
 
     df holds doc_id and text, labels doc_id and quality. Whole texts are learned from. Rows without an id are not.
     """
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, 200)
     known = labels.filter("quality is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("label"))
     # First by a share of the ids, so that no task hands on more than a little over its part of the sample.
     scale, place = 1 << 30, F.pmod(F.xxhash64("_id"), F.lit(1 << 30))

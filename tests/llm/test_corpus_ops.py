@@ -2,13 +2,15 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quadrille.llm import bpe, chat_format, packing, source_mix
+from quadrille.llm import bpe, chat_format, packing, quality, source_mix
+from tests.llm.test_dedup import FOLD, brute_near_rows
+from tests.llm.test_text_ops import plain_passages, plain_score
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -236,6 +238,76 @@ def test_chat_hard_case(spark, sf):
     assert r.loss_chars == len(chat_format.HARD) and r.valid
 
 
+@pytest.fixture(scope="module")
+def hard_corpus(spark, documents, nasty, tmp_path_factory):
+    """A folder whose documents repeat ids with other texts, repeat rows, and lack ids, texts and sources."""
+    folder = str(tmp_path_factory.mktemp("corpus"))
+    some = documents.filter("length(text) < 4000").orderBy("doc_id").limit(70)
+    odd = nasty.filter("doc_id is null or (doc_id <> 7 and doc_id <> 8)").select(*documents.columns)
+    again = some.limit(25)
+    shifted = again.withColumn("doc_id", F.col("doc_id") + 5)
+    upper = again.withColumns({"text": F.upper("text"), "doc_id": F.lit(9).cast("long")})
+    bare = again.limit(6).withColumns({"doc_id": F.lit(None).cast("long"), "source": F.lit(None).cast("string")})
+    near = again.withColumns({"doc_id": F.col("doc_id") + 300, "text": F.concat("text", F.lit(" one more"))})
+    for part in (odd, again.limit(9), shifted, upper, bare, near):
+        some = some.unionByName(part)
+    some.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def as_rows(rows):
+    return Counter(tuple(r) for r in rows)
+
+
+def test_pipeline_against_plain(spark, hard_corpus):
+    """Every stage on what its predecessor kept, against plain loops; then the run as a whole."""
+    docs = spark.read.parquet(f"{hard_corpus}/documents.parquet")
+    columns = docs.columns
+    model = quality.train(docs, spark.read.parquet(f"{hard_corpus}/labels.parquet"))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.collect()
+        out = stage(spark, docs, hard_corpus).persist()
+        assert out.columns == columns
+        after = out.collect()
+        if name == "quality":
+            scores = {(r.doc_id, r.text): plain_score(model, plain_passages(r.text)) for r in before}
+            assert as_rows(after) == as_rows(r for r in before if scores[r.doc_id, r.text] >= quality.THRESHOLD)
+        elif name == "exact_dedup":
+            groups = defaultdict(list)
+            for r in before:
+                groups[(r.text or "").translate(FOLD)].append(r)
+            assert len(after) == len(groups)
+            for r in after:
+                ids = [x.doc_id for x in groups[(r.text or "").translate(FOLD)] if x.doc_id is not None]
+                assert r in groups[(r.text or "").translate(FOLD)] and r.doc_id == max(ids, default=None)
+        elif name == "near_dedup":
+            want = brute_near_rows([(r.doc_id, r.text) for r in before])
+            at = {tuple(r): w for r, w in zip(before, want, strict=True)}
+            assert Counter(at[tuple(r)][2] for r in after if at[tuple(r)][0]) == Counter({node: 1 for n, _, node in want if n})
+            assert all(r.doc_id == at[tuple(r)][1] for r in after if at[tuple(r)][0])
+            assert as_rows(r for r in after if not at[tuple(r)][0]) == as_rows(r for r in before if not at[tuple(r)][0])
+        else:
+            sizes = defaultdict(int)
+            count = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+            for r in before:
+                sizes[r.source] += count(r)
+            aims, times = brute_targets(sizes), as_rows(after)
+            assert set(times) <= set(map(tuple, before)) and all(n <= 2 * as_rows(before)[r] for r, n in times.items())
+            for s in sizes:
+                taken, most = sum(count(r) for r in after if r.source == s), max(count(r) for r in before if r.source == s)
+                assert abs(taken - aims[s]) <= 2 * most
+        kept[name] = len(after)
+        assert 0 < len(after) and (name == "source_mix" or len(after) < len(before))
+        docs = out
+    check_packing(docs)
+    whole = corpus_pipeline.run(spark, hard_corpus)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, hard_corpus)
+    key = lambda df: sorted(map(str, df.select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
+    assert key(whole) == key(packed)
+
+
 def test_pipeline_stages(spark, sf, documents):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "source_mix", "packing"]
     docs, counts = documents, []

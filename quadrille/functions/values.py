@@ -96,13 +96,18 @@ def number(x: Column) -> Column:
     return _make(NUMBER, x, text.otherwise(x.cast("string")))
 
 
+def folded(text: Column) -> Column:
+    """A-Z in lower case; no other letter is touched."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def less(a: Column, b: Column) -> Column:
     """a before b. Strings compare without ASCII case; a NaN is before nothing and after nothing."""
     nums = (a["num"] < b["num"]) & ~F.isnan(a["num"]) & ~F.isnan(b["num"])
     return (
         F.when(a["kind"] != b["kind"], a["kind"] < b["kind"])
         .when(a["kind"] == NUMBER, nums)
-        .when(a["kind"] == STRING, F.lower(a["data"]) < F.lower(b["data"]))
+        .when(a["kind"] == STRING, folded(a["data"]) < folded(b["data"]))
         .otherwise(a["data"] < b["data"])
     )
 

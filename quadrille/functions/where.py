@@ -22,7 +22,7 @@ def _bound(text: str) -> tuple[values.Value, bool]:
     out = t.startswith("(")
     t = t[1:] if out else t
     v = values.parse(t)
-    return (values.Value(v.kind, v.num, v.data.lower()) if v.kind == values.STRING else v), out
+    return v, out
 
 
 def in_range(name: str, lo, hi) -> Column:
@@ -158,7 +158,7 @@ class Expression:
             if op == "=~":
                 left = _X("bool", self._regex(left, right))
             else:
-                same = F.when(left.is_text() & right.is_text(), F.lower(left.text()) == F.lower(right.text()))
+                same = F.when(left.is_text() & right.is_text(), values.folded(left.text()) == values.folded(right.text()))
                 same = same.otherwise(left.num() == right.num())
                 left = _X("bool", same if op.startswith("=") else ~same)
         return left
@@ -180,7 +180,7 @@ class Expression:
         while op := self._take("<", "<=", ">", ">="):
             right = self._sum()
             texts = left.is_text() & right.is_text()
-            a, b, x, y = F.lower(left.text()), F.lower(right.text()), left.num(), right.num()
+            a, b, x, y = values.folded(left.text()), values.folded(right.text()), left.num(), right.num()
             real = ~F.isnan(x) & ~F.isnan(y)
             pairs = {"<": (a < b, x < y), "<=": (a <= b, x <= y), ">": (a > b, x > y), ">=": (a >= b, x >= y)}[op]
             left = _X("bool", F.when(texts, pairs[0]).otherwise(pairs[1] & real))

@@ -155,49 +155,55 @@ def _crosses(f: Fence) -> Column:
 def events(changes: DataFrame, fences: list[Fence], points_only: bool = False) -> DataFrame:
     """All events of a change log: seq, ts, hook, key, id, command, detect, rank, lat, lon, geojson, fields, group.
 
-    A change row must hold the object's whole new version (`fields` folded). The log is ordered once per object and the
-    fences share that order; each fence adds columns, not a shuffle. Roaming fences go through `roam`.
+    A change row must hold the object's whole new version (`fields` folded). The log is read and ordered by (key, id, seq)
+    once for all fences: what a row means to each is an array beside it, of which only what is told, or begins a group,
+    becomes rows. Every change is tested against every fence of its key, so for very many fences `join_many` finds members
+    faster. Roaming fences go through `roam`.
     """
     ship(changes.sparkSession)
-    out = None
     by = Window.partitionBy("key", "id").orderBy("seq")
-    spatial = changes.filter("kind is null or kind != 'string'")
+    flags = []
     for f in fences:
-        own = spatial.filter(F.col("key") == f.key)
-        tested = own.withColumn("_in", in_area(f, points_only))
         passes = F.lit(True)
         for w in f.where:
             passes = passes & condition(w)
-        tested = tested.withColumn("_pass", F.coalesce(passes, F.lit(False)))
-        # A deleted or set object's version before this change; an fset doesn't hand it on.
-        past = lambda c: F.when(F.lag("command").over(by) != "del", F.lag(c).over(by))
-        tested = tested.withColumns({"_was": past("_in"), "_had": past("_pass"), "_ox": past("x"), "_oy": past("y")})
-        is_set = F.col("command") == "set"
-        old = F.coalesce(is_set & F.col("_was") & F.col("_had"), F.lit(False))
-        filtered = (is_set & F.coalesce(F.col("_was") & ~F.col("_had"), F.lit(False))) | (F.col("_in") & ~F.col("_pass"))
+        inside = (F.col("key") == f.key) & in_area(f, points_only)
+        flags.append(F.struct(F.coalesce(inside, F.lit(False)).alias("in"), F.coalesce(passes, F.lit(False)).alias("pass")))
+    rows = changes.filter(F.col("key").isin([f.key for f in fences])).filter("kind is null or kind != 'string'")
+    rows = rows.withColumn("_now", F.array(*flags))
+    # A deleted or set object's version before this change; an fset doesn't hand it on.
+    past = lambda c: F.when(F.lag("command").over(by) != "del", F.lag(c).over(by))
+    rows = rows.withColumns({"_was": past("_now"), "_ox": past("x"), "_oy": past("y")})
+    found = []
+    for i, f in enumerate(fences):
+        now, was, is_set = F.col("_now")[i], F.col("_was")[i], F.col("command") == "set"
+        old = F.coalesce(is_set & was["in"] & was["pass"], F.lit(False))
+        filtered = (is_set & F.coalesce(was["in"] & ~was["pass"], F.lit(False))) | (now["in"] & ~now["pass"])
         moved = is_set & F.col("_ox").isNotNull() & ~filtered
         wants_cross = f.detect is None or bool({"cross", "outside"} & set(f.detect))
         crossed = moved & _crosses(f) if wants_cross else F.lit(False)
         written = ~F.col("command").isin("del", "drop")
-        detect = F.when(written, detection(old, F.col("_in") & F.col("_pass"), F.col("command"), F.col("_pass"), crossed))
+        detect = F.when(written, detection(old, now["in"] & now["pass"], F.col("command"), now["pass"], crossed))
         names = requested(detect, f.detect)
         names = F.when(F.col("command") == "del", F.array(F.lit("del"))).when(F.col("command") == "drop", F.array(F.lit("drop"))).otherwise(names)
-        kept = globs.any_match(F.col("id"), f.match) | (F.col("command") == "drop")
+        own = F.col("key") == f.key
+        kept = own & (globs.any_match(F.col("id"), f.match) | (F.col("command") == "drop"))
         if f.commands is not None:
             kept = kept & F.col("command").isin(f.commands)
         if f.nofields:
             kept = kept & (F.col("command") != "fset")
-        tested = tested.withColumn("_starts", F.coalesce(detect.isin("enter", "cross"), F.lit(False)))
-        first = F.last(F.when(F.col("_starts"), F.col("seq")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-        tested = tested.withColumn("_group", F.coalesce(first, F.lit(-1)))
-        rows = tested.filter(kept).select(
-            "seq", "ts", F.lit(f.name).alias("hook"), "key", "id", "command", F.posexplode(names).alias("rank", "detect"),
-            F.col("y").alias("lat"), F.col("x").alias("lon"), "geojson", "fields",
-            F.sha1(F.concat_ws("|", F.lit(f.name), "key", "id", F.col("_group").cast("string"))).alias("group"),
-        )
-        rows = rows.withColumn("detect", F.when(~F.col("detect").isin("del", "drop"), F.col("detect")))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        starts = own & F.coalesce(detect.isin("enter", "cross"), F.lit(False))
+        found.append(F.struct(F.lit(f.name).alias("hook"), names.alias("names"), F.coalesce(kept, F.lit(False)).alias("kept"), starts.alias("starts")))
+    told = rows.withColumn("_f", F.explode(F.filter(F.array(*found), lambda x: x["kept"] | x["starts"])))
+    upto = Window.partitionBy("key", "id", "_f.hook").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.last(F.when(F.col("_f.starts"), F.col("seq")), ignorenulls=True).over(upto)
+    told = told.withColumn("_group", F.coalesce(first, F.lit(-1))).filter("_f.kept")
+    out = told.select(
+        "seq", "ts", F.col("_f.hook").alias("hook"), "key", "id", "command", F.posexplode("_f.names").alias("rank", "detect"),
+        F.col("y").alias("lat"), F.col("x").alias("lon"), "geojson", "fields",
+        F.sha1(F.concat_ws("|", F.col("_f.hook"), "key", "id", F.col("_group").cast("string"))).alias("group"),
+    )
+    return out.withColumn("detect", F.when(~F.col("detect").isin("del", "drop"), F.col("detect")))
 
 
 def message_order() -> list[Column]:

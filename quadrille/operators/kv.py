@@ -1,16 +1,23 @@
 """Key and id writes as a change log, its fold into the current objects, and point reads.
 
 A change row is (seq, ts, command, key, id, geometry columns, fields, ex_seconds, pattern, new_key). `command` is one of
-set, fset, del, pdel, drop, flushdb, expire, persist, rename. Order is `seq`, within everything.
+set, fset, del, pdel, drop, flushdb, expire, persist, rename, renamenx, jset, jdel. Order is `seq`, within everything. An
+edit of JSON (jset, jdel) has its path in `pattern`, its new value in `value` and how that is meant (raw, str) in `new_key`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..functions import globs, values
-from ..sources.objects import GEOMETRY, GEOMETRY_NAMES
+from ..functions import geometry, globs, jsonpath, values
+from ..plans.session import ship
+from ..sources.objects import GEOMETRY, GEOMETRY_NAMES, geometry_row
 
 CHANGE = (
     f"seq long, ts timestamp, command string, key string, id string, {GEOMETRY}, fields {values.FIELDS}, "
@@ -52,16 +59,92 @@ def glob_regex(pattern: str) -> str:
     return globs.to_regex(pattern)
 
 
+def _segments(renames: list[tuple[int, str, str]]) -> list[tuple[str, int, int, str | None]]:
+    """(key, from, to, last name) of the parts of each renamed key's time; null where a rename onto the key ended what was there."""
+    out = []
+    for key in {k for r in renames for k in r[1:]}:
+        start = -(1 << 62)
+        for end in [*(s for s, a, b in renames if a != b and key in (a, b)), 1 << 62]:
+            name: str | None = key
+            for s, a, b in renames:
+                if s >= end and a != b and name is not None:
+                    name = b if name == a else None if name == b else name
+            out.append((key, start, end, name))
+            start = end
+    return out
+
+
+def _renamed(log: DataFrame) -> DataFrame:
+    """The log with every change under the name that its collection has in the end.
+
+    Renames are whole-key commands, few next to changes: they pass through the driver, and their parts of time are broadcast.
+    What stood under the new name goes. A logged renamenx is one that took place.
+    """
+    found = log.filter(F.col("command").isin("rename", "renamenx")).select("seq", "key", "new_key").orderBy("seq").collect()
+    parts = log.sparkSession.createDataFrame(_segments([tuple(r) for r in found]), "_of string, _lo long, _hi long, _name string")
+    on = (F.col("key") == F.col("_of")) & (F.col("seq") > F.col("_lo")) & (F.col("seq") <= F.col("_hi"))
+    moved = log.filter(~F.col("command").isin("rename", "renamenx")).join(F.broadcast(parts), on, "left")
+    moved = moved.filter(F.col("_of").isNull() | F.col("_name").isNotNull())
+    return moved.withColumn("key", F.coalesce("_name", "key")).select(*CHANGE_NAMES)
+
+
+def _edited(row: dict, r: dict) -> dict:
+    """An object's geometry columns after one change; an edit that fails changes nothing."""
+    if r["command"] == "set":
+        return {n: r[n] for n in GEOMETRY_NAMES}
+    text = row["value"] if row["kind"] == "string" else row["geojson"]
+    try:
+        if r["command"] == "jset":
+            new = jsonpath.put(text, r["pattern"], r["value"], r["new_key"])
+        elif text is None or not (found := jsonpath.remove(text, r["pattern"]))[1]:
+            return row
+        else:
+            new = found[0]
+    except ValueError:
+        return row
+    try:
+        return dict(zip(GEOMETRY_NAMES, geometry_row(geometry.load(new)), strict=True))
+    except geometry.BadGeometry:
+        string = dict.fromkeys(GEOMETRY_NAMES) | {"kind": "string", "value": new, "npoints": 0}
+        return string if row["kind"] in (None, "string") else row
+
+
+def _edits(schema: pa.Schema):
+    """Objects from rows sorted by (key, id, seq); one object at a time is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, row, done = None, {}, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (r["key"], r["id"]) != at:
+                    if at:
+                        done.append({"key": at[0], "id": at[1], **row})
+                    at, row = (r["key"], r["id"]), dict.fromkeys(GEOMETRY_NAMES)
+                row = _edited(row, r)
+            yield pa.RecordBatch.from_pylist(done, schema)
+            done = []
+        if at:
+            yield pa.RecordBatch.from_pylist([{"key": at[0], "id": at[1], **row}], schema)
+
+    return run
+
+
 def fold(changes: DataFrame, now: Column | None = None) -> DataFrame:
     """The objects that a change log leaves.
 
     A set keeps earlier fields and replaces geometry and expiry; an fset of a missing id does nothing; an id that was
-    deleted or has expired starts anew. Fields are combined by the last write of each field name in partial aggregation,
-    so a much-written id isn't gathered anywhere; only its expiry needs the id's changes in order, as a sorted stream.
+    deleted or has expired starts anew. A rename moves a collection, and what was under the new name goes. A jset of a
+    missing id makes a string object; JSON edits are applied in order, those of one id since its last set in one task.
+
+    Fields are combined by the last write of each field name in partial aggregation. Lives of an id (between deletes and
+    expiries) are found in the order of its changes, so an id's changes pass through one task as a sorted stream.
     """
     now = F.current_timestamp() if now is None else now
     log = _as_changes(changes)
-    direct = log.filter(F.col("command").isin("set", "fset", "del", "expire", "persist"))
+    rare = log.agg(*[F.coalesce(F.max(F.col("command").isin(*names)), F.lit(False)) for names in (("rename", "renamenx"), ("jset", "jdel"))]).first()
+    if rare[0]:
+        log = _renamed(log)
+    direct = log.filter(F.col("command").isin("set", "fset", "del", "expire", "persist", "jset", "jdel"))
     log = direct.unionByName(_as_changes(_removals(log)))
     by = Window.partitionBy("key", "id").orderBy("seq")
     upto = by.rowsBetween(Window.unboundedPreceding, 0)
@@ -73,7 +156,8 @@ def fold(changes: DataFrame, now: Column | None = None) -> DataFrame:
     # An epoch is a life of the id: it ends at a delete, or at the first change after its expiry.
     ended = (F.lag("command").over(by) == "del") | F.col("_dead")
     log = log.withColumn("_epoch", F.sum(F.coalesce(ended, F.lit(False)).cast("int")).over(upto))
-    log = log.withColumn("_born", F.min(F.when(F.col("command") == "set", F.col("seq"))).over(Window.partitionBy("key", "id", "_epoch").orderBy("seq")))
+    makes = F.col("command").isin("set", "jset")
+    log = log.withColumn("_born", F.min(F.when(makes, F.col("seq"))).over(Window.partitionBy("key", "id", "_epoch").orderBy("seq")))
     whole = Window.partitionBy("key", "id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     log = log.withColumns({
         "_last": F.max("_epoch").over(whole), "_final": F.last("command").over(whole), "_until": F.last("_until").over(whole),
@@ -86,14 +170,28 @@ def fold(changes: DataFrame, now: Column | None = None) -> DataFrame:
     nowhere = F.when(F.lit(False), geom)
     items = F.transform(F.map_entries(F.coalesce("fields", F.create_map().cast(values.FIELDS))), lambda e: item(e["key"], e["value"], nowhere))
     place = F.array(item(F.lit(None).cast("string"), no_value, geom))
-    items = F.when(F.col("command") == "set", F.concat(items, place)).otherwise(items)
+    items = F.when(makes, F.concat(items, place)).otherwise(items)
     each = lives.select("key", "id", "seq", "_until", F.explode(items).alias("i"))
     each = each.groupBy("key", "id", F.col("i.name").alias("name")).agg(F.max_by("i", "seq").alias("i"), F.first("_until").alias("_until"))
     stored = F.when(F.col("name").isNotNull() & ~values.is_zero(F.col("i.v")), F.struct("name", F.col("i.v").alias("v")))
     out = each.groupBy("key", "id").agg(
         F.max(F.when(F.col("name").isNull(), F.col("i.g"))).alias("g"), F.array_sort(F.collect_list(stored)).alias("f"), F.first("_until").alias("_until")
     )
-    return out.select("key", "id", "g.*", F.map_from_entries("f").alias("fields"), F.timestamp_seconds("_until").alias("expires_at"))
+    out = out.select("key", "id", "g.*", F.map_from_entries("f").alias("fields"), F.timestamp_seconds("_until").alias("expires_at"))
+    if not rare[1]:
+        return out
+    ship(changes.sparkSession)
+    edits = F.col("command").isin("jset", "jdel")
+    last = F.coalesce(F.max(F.when(F.col("command") == "set", F.col("seq"))).over(Window.partitionBy("key", "id")), F.lit(-(1 << 62)))
+    some = F.max(edits).over(Window.partitionBy("key", "id"))
+    rows = lives.filter(edits | (F.col("command") == "set")).withColumns({"_set": last, "_some": some})
+    rows = rows.filter("_some and seq >= _set").select("key", "id", "seq", "command", "pattern", "new_key", *GEOMETRY_NAMES)
+    rows = rows.repartition("key", "id").sortWithinPartitions("key", "id", "seq")
+    made = StructType.fromDDL(f"key string, id string, {GEOMETRY}")
+    edited = rows.mapInArrow(_edits(to_arrow_schema(made)), made).select("key", "id", F.struct(*GEOMETRY_NAMES).alias("_g"))
+    out = out.join(edited, ["key", "id"], "left")
+    pick = [F.when(F.col("_g").isNotNull(), F.col(f"_g.{n}")).otherwise(F.col(n)).alias(n) for n in GEOMETRY_NAMES]
+    return out.select("key", "id", *pick, "fields", "expires_at")
 
 
 def upsert(objects: DataFrame, new: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from .plans import spec as S
 from .plans.spec import Search, Where
 from .plans.session import ship
 from .sources import objects as src
+from .sources.objects import GEOMETRY_NAMES
 from .streaming import fences as stream
 
 LAT = "((event_id * 7919) % 180000)::DOUBLE / 1000 - 90"
@@ -216,7 +217,7 @@ BOX = (10.0, -60.0, 45.5, 30.25)
 query("within_bounds", _box_sql(BOX))(_area("within", lambda: S.bounds(*BOX)))
 query("intersects_bounds", _box_sql(BOX))(_area("intersects", lambda: S.bounds(*BOX)))
 query("within_circle", f"WITH {FLEET_SQL} SELECT id FROM fleet WHERE {_meters(0, 100)} <= 2000000")(_area("within", lambda: S.circle(0, 100, 2000000)))
-query("within_tile", _box_sql(geo.tile_bounds(5, 3, 3)))(_area("within", lambda: S.tile(5, 3, 3)))
+query("within_tile", _box_sql((0.0, 45.0, 40.97989806962013, 90.0)))(_area("within", lambda: S.tile(5, 3, 3)))
 query("within_quadkey", _box_sql(geo.tile_bounds(*geo.quadkey_tile("12"))))(_area("within", lambda: S.quadkey("12")))
 query("within_hash", _box_sql(geo.geohash_bounds("9")))(_area("within", lambda: S.geohash("9")))
 query("within_mvt_margin", _box_sql(geo.margin_bounds(2, 1, 2)))(_area("within", lambda: S.mvt(2, 1, 2)))
@@ -282,11 +283,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return _run(Search("within", "fleet", area=S.bounds(-90, -180, 90, 180), sparse=3), fleet(spark, sf)).select("id")
 
 
-@query("clip_output")
+@query("clip_output", f"WITH {FLEET_SQL} SELECT id, 'Point' AS gtype, lon, lat FROM fleet WHERE {_in(BOX)}")
 def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A clipped point is the point; lines and rings are in the tests."""
     spec = Search("intersects", "fleet", area=S.bounds(*BOX), clip=True, limit=S.UNLIMITED)
     ship(spark)
-    return ops.compile(spec, fleet(spark, sf)).df.select("id", "geojson")
+    at = [F.get_json_object("geojson", p) for p in ("$.type", "$.coordinates[0]", "$.coordinates[1]")]
+    return ops.compile(spec, fleet(spark, sf)).df.select("id", at[0].alias("gtype"), at[1].cast("double").alias("lon"), at[2].cast("double").alias("lat"))
 
 
 # Outputs.
@@ -317,15 +320,18 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return fleet(spark, sf).select("id", geo.quadkey_column(F.col("y"), F.col("x"), 3).alias("quadkey"))
 
 
-@query("points_out", f"WITH {FLEET_SQL} SELECT id, lat, lon FROM fleet WHERE starts_with(id, 'e4') ORDER BY id LIMIT 100")
+@query("points_out", f"WITH {FLEET_SQL} SELECT id, lat, lon FROM fleet")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _run(Search("scan", "fleet", match=["e4*"], output="points"), fleet(spark, sf)).select("id", F.col("y").alias("lat"), F.col("x").alias("lon"))
+    return _run(Search("scan", "fleet", limit=S.UNLIMITED, output="points"), fleet(spark, sf)).select("id", F.col("y").alias("lat"), F.col("x").alias("lon"))
 
 
-@query("fields_aligned", f"WITH {FLEET_SQL} SELECT id, event_type, CASE WHEN value = 0 THEN '0' ELSE CAST(value AS VARCHAR) END AS value FROM fleet ORDER BY id LIMIT 30")
+@query("fields_aligned", f"WITH {FLEET_SQL} SELECT id, event_type, value FROM fleet")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ops.compile(Search("scan", "fleet", limit=30), fleet(spark, sf)).aligned(["event_type", "value"])
-    return rows.select("id", F.replace(F.col("fields")[0], F.lit('"'), F.lit("")).alias("event_type"), F.col("fields")[1].alias("value"))
+    """All rows beside the header that the data has; a missing value is the number 0 there."""
+    found = ops.compile(Search("scan", "fleet", limit=S.UNLIMITED), fleet(spark, sf))
+    header = found.header()
+    at = {n: F.col("fields")[header.index(n)] for n in ("event_type", "value")}
+    return found.aligned(header).select("id", F.replace(at["event_type"], F.lit('"'), F.lit("")).alias("event_type"), at["value"].cast("double").alias("value"))
 
 
 @query("json_get", "SELECT 'e' || event_id AS id, json_extract_string(props, '$.k') AS k FROM events")
@@ -370,9 +376,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return kv.server(fleet(spark, sf).unionByName(strings(spark, sf))).select("num_collections", "num_objects", "num_strings")
 
 
-@query("metrics")
+@query("metrics", """SELECT 'collection_' || g AS metric, key, CASE WHEN (key = 'docs' AND g = 'num_points') OR (key = 'fleet' AND g = 'num_strings') THEN 0
+ELSE n END::DOUBLE AS value FROM (SELECT 'docs' AS key, count(*) AS n FROM documents UNION ALL SELECT 'fleet', count(*) FROM events),
+(VALUES ('num_objects'), ('num_strings'), ('num_points')) v(g)""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return kv.metrics(fleet(spark, sf).unionByName(strings(spark, sf)))
+    """The gauges that count; stats_weight holds the bytes."""
+    return kv.metrics(fleet(spark, sf).unionByName(strings(spark, sf))).filter("metric <> 'collection_in_memory_size'")
 
 
 @query("keys_glob", "SELECT DISTINCT event_type AS key FROM events WHERE regexp_full_match(event_type, '.*e.*')")
@@ -411,6 +420,38 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return kv.fold(out).select("id", F.col("y").alias("lat"))
 
 
+@query("fold_rename", f"""WITH {LOG_SQL}, m AS (SELECT max(seq) AS top FROM log), {LIVES_SQL.replace('FROM log)', 'FROM cut)').replace('e AS', '''
+cut AS (SELECT seq, command, CASE WHEN seq <= m.top // 2 THEN 'ships/' ELSE 'fleet/' END || id AS id, lat, lon, value, event_type, speed FROM log, m),
+e AS''', 1)}
+SELECT id, arg_max(lat, seq) AS lat FROM live WHERE command = 'set' GROUP BY id""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The log with a rename halfway; what follows under the old name begins anew."""
+    rows = log(spark, sf)
+    half = rows.agg(F.max("seq")).first()[0] // 2
+    move = spark.createDataFrame([(2 * half + 1, "rename", "fleet", "ships")], "seq long, command string, key string, new_key string")
+    out = rows.withColumn("seq", F.col("seq") * 2).unionByName(move.withColumn("ts", F.current_timestamp()), allowMissingColumns=True)
+    return kv.fold(out).select(F.concat_ws("/", "key", "id").alias("id"), F.col("y").alias("lat"))
+
+
+@query("fold_json", """SELECT 'e' || event_id AS id, CASE WHEN event_id % 2 = 0 THEN '{"tag":"x"}' ELSE '{"k":' || json_extract_string(props, '$.k') || ',"tag":"x"}' END AS value FROM events""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Strings set, then edited: a member is put in each, another one taken from every second."""
+    e = events(spark, sf)
+    base = e.select(
+        (F.col("event_id") * 3).alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.lit("docs").alias("key"),
+        F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), F.lit("set").alias("command"), *src.string_geometry(F.col("props")),
+        F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("string").alias("new_key"),
+    )
+    nowhere = [F.lit(None).cast(base.schema[n].dataType).alias(n) for n in GEOMETRY_NAMES if n != "value"]
+
+    def edit(rows: DataFrame, n: int, command: str, path: str, value: str | None) -> DataFrame:
+        own = [(F.col("seq") + n).alias("seq"), "ts", "key", "id", F.lit(command).alias("command"), F.lit(path).alias("pattern"), F.lit(value).cast("string").alias("value")]
+        return rows.select(*own, *nowhere, F.lit(None).cast("string").alias("new_key"))
+
+    rows = base.unionByName(edit(base, 1, "jset", "tag", "x")).unionByName(edit(base.filter(F.substring("id", 2, 20).cast("long") % 2 == 0), 2, "jdel", "k", None))
+    return kv.fold(rows).select("id", "value")
+
+
 @query("upsert_latest", f"WITH {FLEET_SQL} SELECT 'u' || user_id AS id, arg_max(lat, event_id) AS lat FROM fleet GROUP BY user_id")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     last = log(spark, sf).filter("command != 'x'").withColumn("command", F.lit("set"))
@@ -426,10 +467,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", values.field("event_type")["data"].alias("event_type"), values.field("value")["num"].alias("value"), values.field("extra")["num"].alias("extra"))
 
 
-@query("fset_counts", f"WITH {FLEET_SQL} SELECT id, CASE WHEN event_type = 'view' THEN 1 ELSE 2 END AS n FROM fleet WHERE event_id % 4 = 0")
+@query("fset_counts", f"WITH {FLEET_SQL} SELECT id, CASE WHEN event_type = 'view' THEN 1 ELSE 2 END AS n FROM fleet")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     old = fleet(spark, sf)
-    new = old.filter(F.substring("id", 2, 20).cast("long") % 4 == 0).select("key", "id", F.create_map(F.lit("event_type"), values.parse("view").column(), F.lit("n"), values.parse("1").column()).alias("fields"))
+    new = old.select("key", "id", F.create_map(F.lit("event_type"), values.parse("view").column(), F.lit("n"), values.parse("1").column()).alias("fields"))
     _, counts = kv.fset(old, new)
     return counts.select("id", "n")
 
@@ -460,7 +501,18 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return kv.ttl(rows, now).select("id", "ttl")
 
 
-@query("exists_get", f"WITH {FLEET_SQL} SELECT id, lat, lon, event_type FROM fleet WHERE id = 'e42'")
+@query("exists", "SELECT 'e42' AS id, count(*) > 0 AS found, count(*) > 0 AS has_value FROM events WHERE event_id = 42 UNION ALL SELECT 'none', false, false")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    objects, out = fleet(spark, sf), None
+    for id_ in ("e42", "none"):
+        field = kv.fexists(objects, "fleet", id_, "value").agg(F.coalesce(F.max("exists"), F.lit(False)).alias("has_value"))
+        row = kv.exists(objects, "fleet", id_).select(F.lit(id_).alias("id"), F.col("exists").alias("found"), F.lit(1).alias("_j"))
+        row = row.join(field.withColumn("_j", F.lit(1)), "_j").drop("_j")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("get_object", f"WITH {FLEET_SQL} SELECT id, lat, lon, event_type FROM fleet WHERE id = 'e42'")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return kv.get(fleet(spark, sf), "fleet", "e42").select("id", F.col("y").alias("lat"), F.col("x").alias("lon"), values.field("event_type")["data"].alias("event_type"))
 
@@ -624,10 +676,20 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 LINE = geometry.dumps({"type": "LineString", "coordinates": [[-100, 10], [-20, 40], [60, 30]]})
 
 
-@query("shapes_intersect")
+def _meets_sql(way: list) -> str:
+    """Whether a box (lon, lat)-(lon + 5, lat + 5) meets a line: for one of its parts, the shares of the way inside in both directions overlap."""
+    tests = []
+    for (ax, ay), (bx, by) in zip(way, way[1:], strict=False):
+        x, y = (f"({lo} - ({a!r})) / ({b - a!r})" for lo, a, b in (("lon", ax, bx), ("lat", ay, by)))
+        x2, y2 = (f"({lo} + 5 - ({a!r})) / ({b - a!r})" for lo, a, b in (("lon", ax, bx), ("lat", ay, by)))
+        tests.append(f"greatest(0.0, least({x}, {x2}), least({y}, {y2})) <= least(1.0, greatest({x}, {x2}), greatest({y}, {y2}))")
+    return " OR ".join(f"({t})" for t in tests)
+
+
+@query("shapes_intersect", f"WITH {FLEET_SQL} SELECT CAST(event_id AS VARCHAR) AS id FROM fleet WHERE {_meets_sql([(-100.0, 10.0), (-20.0, 40.0), (60.0, 30.0)])}")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     ship(spark)
     lat, lon = _coords(F.col("event_id"))
     boxes = src.objects(F.lit("boxes"), F.col("event_id"), src.bounds_geometry(lat, lon, lat + 5, lon + 5), events(spark, sf))
     spec = Search("intersects", "boxes", limit=S.UNLIMITED, area=S.geojson(LINE))
-    return ops.compile(spec, boxes).df.select("id")
+    return ops.compile(spec, boxes).df.select(F.col("id").cast("string").alias("id"))

@@ -19,7 +19,14 @@ from .objects import GEOMETRY_NAMES, geometry_row
 
 
 class BadLog(ValueError):
-    """Bytes inside a log that are no command."""
+    """Bytes inside a log that are no command, or a command that no log holds."""
+
+
+#: Commands that a log may hold and that change no object: hooks and channels, scripts' loading, and reads.
+NO_CHANGE = frozenset(
+    "sethook setchan delhook delchan pdelhook pdelchan publish get fget exists fexists scan search nearby within intersects test bounds stats "
+    "keys ttl type jget hooks chans server info ping echo timeout output auth config readonly gc script aof aofmd5 aofshrink healthz".split()
+)
 
 
 def write(commands: list[list[str]]) -> bytes:
@@ -83,25 +90,32 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def change(args: list[str]) -> dict | None:
-    """The change row of one command, without seq and ts; None for commands that change no object."""
+    """The change row of one command, without seq and ts; None for commands that change no object, BadLog for unknown ones."""
     words = [str(a) for a in args]
     name = words[0].lower() if words else ""
     row: dict = dict.fromkeys(CHANGE_NAMES) | {"command": name}
     if name == "flushdb":
         return row
-    if name in ("drop", "pdel", "del", "persist", "expire", "rename"):
+    if name in ("jset", "jdel"):
+        row |= {"key": words[1], "id": words[2], "pattern": words[3]}
+        if name == "jset":
+            row |= {"value": words[4], "new_key": words[5].lower() if len(words) > 5 else None}
+        return row
+    if name in ("drop", "pdel", "del", "persist", "expire", "rename", "renamenx"):
         row["key"] = words[1]
         if name == "pdel":
             row["pattern"] = globs.to_regex(words[2])
-        elif name == "rename":
+        elif name in ("rename", "renamenx"):
             row["new_key"] = words[2]
         elif name != "drop":
             row["id"] = words[2]
         if name == "expire":
             row["ex_seconds"] = float(words[3])
         return row
-    if name not in ("set", "fset"):
+    if name in NO_CHANGE or not name:
         return None
+    if name not in ("set", "fset"):
+        raise BadLog(f"unknown command {words[0]!r}")
     row["key"], row["id"], fields, i = words[1], words[2], {}, 3
     if name == "fset":
         rest = words[3:]

@@ -231,3 +231,62 @@ def test_roam_reports(spark):
     log = df.select("seq", F.current_timestamp().alias("ts"), F.lit("set").alias("command"), F.lit("cars").alias("key"), "id", *src.point_geometry(F.lit(PARALLEL), F.col("lon")))
     got = roam.roam(log, "cars", "cars", "*", 1000).orderBy("seq").collect()
     assert [(r.id, r.kind, r.other, r.meters) for r in got] == REPORTS
+
+
+def test_fences_share_one_order(spark, sf):
+    """However many fences: one scan of the log, and no more shuffles than for one."""
+    log = queries.log(spark, sf)
+    plans = []
+    for n in (1, 5):
+        many = [fences.Fence(f"f{i}", "fleet", S.bounds(-40 + i, -120, 40, 60)) for i in range(n)]
+        plans.append(fences.events(log, many, True)._jdf.queryExecution().executedPlan().toString())
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [2, 2]
+    assert [p.count("FileScan") for p in plans] == [1, 1]
+
+
+def as_log(spark, commands):
+    rows = [(i, list(map(str, c))) for i, c in enumerate(commands)]
+    return commandlog.changes(spark.createDataFrame(rows, "seq long, args array<string>"))
+
+
+def test_log_renames_and_json(spark):
+    log = as_log(spark, [
+        ("SET", "a", "one", "POINT", 1, 2), ("SET", "b", "gone", "POINT", 3, 4), ("RENAME", "a", "b"), ("SET", "a", "two", "POINT", 5, 6),
+        ("RENAMENX", "b", "c"), ("FSET", "c", "one", "speed", 7), ("JSET", "c", "doc", "x.y", "1"), ("JSET", "c", "doc", "z", "q", "STR"),
+        ("JDEL", "c", "doc", "x.y"), ("SET", "c", "geo", "OBJECT", '{"type":"Point","coordinates":[8,9]}'), ("JSET", "c", "geo", "coordinates.1", "10"),
+        ("SETHOOK", "h", "http://x", "NEARBY", "a", "FENCE", "POINT", 1, 2, 3), ("JDEL", "c", "none", "x"),
+    ])
+    got = {(r.key, r.id): r for r in kv.fold(log).collect()}
+    assert set(got) == {("c", "one"), ("a", "two"), ("c", "doc"), ("c", "geo")}
+    assert (got["c", "one"].y, got["c", "one"].x, got["c", "one"].fields["speed"].num) == (1, 2, 7)
+    assert got["c", "doc"].kind == "string" and json.loads(got["c", "doc"].value) == {"x": {}, "z": "q"}
+    assert (got["c", "geo"].x, got["c", "geo"].y) == (8, 10)
+
+
+def test_log_refuses_unknown_commands():
+    with pytest.raises(commandlog.BadLog, match="unknown command"):
+        commandlog.change(["MOVE", "a", "b"])
+
+
+def test_engine_log_keeps_expiry_and_renames(spark):
+    from quadrille.engine import Engine
+
+    e = Engine(spark, clock=lambda: 1_700_000_000.0)
+    e.execute("SET fleet a EX 1000 POINT 1 2")
+    e.execute("SET fleet b POINT 3 4")
+    e.execute("RENAME fleet ships")
+    at = lambda s: F.timestamp_seconds(F.lit(1_700_000_000.0 + s))
+    for _ in range(2):
+        assert {(r.key, r.id) for r in kv.fold(e.changes(), at(10)).collect()} == {("ships", "a"), ("ships", "b")}
+        assert {(r.key, r.id) for r in kv.fold(e.changes(), at(2000)).collect()} == {("ships", "b")}
+        e.execute("AOFSHRINK")
+
+
+def test_case_folds_ascii_only(spark):
+    from quadrille.functions import values
+
+    row = spark.range(1).select(
+        values.equal(values.parse("AbC").column(), values.parse("aBc").column()).alias("plain"),
+        values.equal(values.parse("\u00c9").column(), values.parse("\u00e9").column()).alias("accent"),
+    ).first()
+    assert row.plain and not row.accent

@@ -6,6 +6,10 @@ batch form, which sees an object's previous version with lag, and the streaming
 
 from __future__ import annotations
 
+import functools
+import json
+import operator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -102,10 +106,15 @@ def detection(old: Column, new: Column, command: Column, new_filters: Column, cr
     return F.when(old & new, "inside").when(old, "exit").when(new & fset, "inside").when(new, "enter").otherwise(away)
 
 
-def requested(detect: Column, names: list[str] | None) -> Column:
-    """The events that go out, in order: the detection or what it falls back to, then its second message."""
+def requested(detect: Column, names: list[str] | Column | None) -> Column:
+    """The events that go out, in order: the detection or what it falls back to, then its second message.
+
+    `names` are the events asked for, null for all; or a column of them, for fences that are rows.
+    """
     if names is None:
         wanted = lambda c: F.lit(True)
+    elif isinstance(names, Column):
+        wanted = lambda c: names.isNull() | F.array_contains(names, c)
     else:
         wanted = lambda c: c.isin(names)
     fallen = F.when(wanted(detect), detect)
@@ -157,8 +166,8 @@ def events(changes: DataFrame, fences: list[Fence], points_only: bool = False) -
 
     A change row must hold the object's whole new version (`fields` folded). The log is read and ordered by (key, id, seq)
     once for all fences: what a row means to each is an array beside it, of which only what is told, or begins a group,
-    becomes rows. Every change is tested against every fence of its key, so for very many fences `join_many` finds members
-    faster. Roaming fences go through `roam`.
+    becomes rows. Every change is tested against every fence of its key, as for a client that listens live; `hook_events`
+    finds the candidates of very many fences first. Roaming fences go through `roam`.
     """
     ship(changes.sparkSession)
     by = Window.partitionBy("key", "id").orderBy("seq")
@@ -195,13 +204,155 @@ def events(changes: DataFrame, fences: list[Fence], points_only: bool = False) -
         starts = own & F.coalesce(detect.isin("enter", "cross"), F.lit(False))
         found.append(F.struct(F.lit(f.name).alias("hook"), names.alias("names"), F.coalesce(kept, F.lit(False)).alias("kept"), starts.alias("starts")))
     told = rows.withColumn("_f", F.explode(F.filter(F.array(*found), lambda x: x["kept"] | x["starts"])))
-    upto = Window.partitionBy("key", "id", "_f.hook").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    first = F.last(F.when(F.col("_f.starts"), F.col("seq")), ignorenulls=True).over(upto)
-    told = told.withColumn("_group", F.coalesce(first, F.lit(-1))).filter("_f.kept")
+    return _as_events(told, F.col("_f.hook"), F.col("_f.starts"), F.col("_f.kept"), F.col("_f.names"))
+
+
+# Many fences: the candidates of a change come from a join by grid cell.
+
+#: Sides of grid cells in degrees. A box belongs to the first level whose cells are at least as large as it is.
+LEVELS = (0.25, 1.0, 4.0, 16.0, 64.0, 512.0)
+
+HOOK = (
+    "hook string, fkey string, fminx double, fminy double, fmaxx double, fmaxy double, flat double, flon double, fmeters double, rect boolean, "
+    "shape string, inside boolean, detect array<string>, commands array<string>, nofields boolean, regex string, conditions int"
+)
+
+
+def _level(box: list[Column]) -> Column:
+    span = F.greatest(box[2] - box[0], box[3] - box[1])
+    out = F.lit(len(LEVELS) - 1)
+    for i in reversed(range(len(LEVELS) - 1)):
+        out = F.when(span <= LEVELS[i], i).otherwise(out)
+    return out
+
+
+def _listed(base: Column, level: Column, box: list[Column]) -> Column:
+    """The cells of a box at a level, four at most where the level is the box's own or above; each with the box's first cell."""
+    size = F.element_at(F.array(*map(F.lit, LEVELS)), level + 1)
+    lx, ly, hx, hy = (F.floor((c + d) / size) for c, d in zip(box, (180, 90, 180, 90), strict=True))
+    cell = lambda x, y: F.struct(base.alias("base"), level.alias("at"), x.alias("cx"), y.alias("cy"), lx.alias("lx"), ly.alias("ly"))
+    return F.flatten(F.transform(F.sequence(lx, hx), lambda x: F.transform(F.sequence(ly, hy), lambda y: cell(x, y))))
+
+
+def _tag(kind: int) -> Callable[[Column], Column]:
+    return lambda c: F.struct(F.lit(kind).alias("kind"), c.alias("c"))
+
+
+@functools.lru_cache(4096)
+def _parts(text: str) -> list:
+    return geometry.parts(geometry.load(text))
+
+
+def _in_shape(text: pd.Series, shape: pd.Series, inside: pd.Series) -> pd.Series:
+    test = lambda t, s, i: t is not None and s is not None and (geometry.within if i else geometry.intersects)(geometry.parts(geometry.load(t)), _parts(s))
+    return pd.Series([test(*r) for r in zip(text, shape, inside, strict=True)], dtype=bool)
+
+
+def _way_meets(ox: pd.Series, oy: pd.Series, x: pd.Series, y: pd.Series, shape: pd.Series) -> pd.Series:
+    # A null shape is a way that needn't be tested.
+    test = lambda a, b, c, d, s: s is not None and geometry.intersects([("L", [(a, b), (c, d)])], _parts(s))
+    return pd.Series([test(*r) for r in zip(ox, oy, x, y, shape, strict=True)], dtype=bool)
+
+
+def hook_events(changes: DataFrame, fences: list[Fence], points_only: bool = False) -> DataFrame:
+    """Events as `events` gives them, for any number of fences, each told only of changes that concern it.
+
+    A fence that asks for `outside` (or for everything) is told of all changes of its key. Any other is a candidate where
+    its box meets the box of the new or the old version, or, if it asks for `cross`, the box around both; so a delete
+    reaches only fences near the object, and a drop none of these. Candidates come from a join by key and grid cell: the
+    log is ordered once, a version is listed under at most four cells for each size of fence, a fence under at most four
+    for each larger size, and the plan doesn't grow with the fences but with their different conditions. Where the table
+    of fences is small Spark broadcasts it; a larger one is shuffled.
+    """
+    ship(changes.sparkSession)
+    wheres = list({repr(f.where): f.where for f in fences}.values())
+    rows = []
+    for f in fences:
+        regex = "|".join(f"(?:{globs.to_regex(p)})" for p in f.match) or None
+        shape = json.dumps(f.area.geojson)
+        numbers = [None if c is None else float(c) for c in (*f.area.bbox, *(f.area.circle or (None, None, None)))]
+        rows.append((f.name, f.key, *numbers, f.area.rect, shape, f.inside, f.detect, f.commands, f.nofields, regex, [repr(w) for w in wheres].index(repr(f.where))))
+    table = changes.sparkSession.createDataFrame(rows, HOOK)
+    f_box = [F.col(c) for c in ("fminx", "fminy", "fmaxx", "fmaxy")]
+    everything = F.col("detect").isNull() | F.array_contains("detect", "outside")
+    levels = sorted({int(r[0]) for r in table.filter(~everything).select(_level(f_box)).distinct().collect()})
+
+    by = Window.partitionBy("key", "id").orderBy("seq")
+    passes = [F.coalesce(functools.reduce(operator.and_, map(condition, w), F.lit(True)), F.lit(False)) for w in wheres]
+    log = changes.filter(F.col("key").isin(sorted({f.key for f in fences}))).filter("kind is null or kind != 'string'")
+    names = ["seq", "ts", "command", "key", "id", "x", "y", "minx", "miny", "maxx", "maxy", "geojson", "fields"]
+    log = log.select(*names, F.array(*passes).alias("_p")).withColumn("_prev", F.lag(F.struct("command", *names[5:12], "_p")).over(by))
+    log = log.withColumn("_prev", F.when(F.col("_prev.command") != "del", F.col("_prev")))
+    new, old = ([F.col(p + c) for c in ("minx", "miny", "maxx", "maxy")] for p in ("", "_prev."))
+    way = [(F.least if i < 2 else F.greatest)(new[i], old[i]) for i in range(4)]
+    way = [F.when(new[i].isNotNull() & old[i].isNotNull(), way[i]) for i in range(4)]
+    near = lambda b: F.coalesce((b[0] <= f_box[2]) & (b[2] >= f_box[0]) & (b[1] <= f_box[3]) & (b[3] >= f_box[1]), F.lit(False))
+
+    told = log.join(table.filter(everything), F.col("key") == F.col("fkey"))
+    if levels:
+        lists = []
+        for kind, box in enumerate([new, old, way]):
+            for base in levels:
+                cells = _listed(F.lit(base), F.greatest(_level(box), F.lit(base)), box)
+                cells = F.coalesce(cells, F.array().cast("array<struct<base:int,at:int,cx:bigint,cy:bigint,lx:bigint,ly:bigint>>"))
+                lists.append(F.transform(cells, _tag(kind)))
+        seen = log.withColumn("_c", F.explode(F.concat(*lists)))
+        base = _level(f_box)
+        own = [F.when(base <= i, _listed(base, F.lit(i), f_box)) for i in range(len(LEVELS))]
+        listed = table.filter(~everything).withColumn("_l", F.explode(F.flatten(F.filter(F.array(*own), lambda x: x.isNotNull()))))
+        same = [F.col(f"_c.c.{n}") == F.col(f"_l.{n}") for n in ("base", "at", "cx", "cy")]
+        hit = seen.join(listed, functools.reduce(operator.and_, same, F.col("key") == F.col("fkey")))
+        # Each pair once: in the first cell that both boxes share, by the first kind of box that meets the fence's.
+        hit = hit.filter((F.col("_l.cx") == F.greatest("_c.c.lx", "_l.lx")) & (F.col("_l.cy") == F.greatest("_c.c.ly", "_l.ly")))
+        first = F.when(near(new), 0).when(near(old), 1).when(near(way) & F.array_contains("detect", "cross"), 2)
+        told = told.unionByName(hit.filter(F.col("_c.kind") == first).drop("_c", "_l"))
+
+    native = points_only and all(f.area.circle or f.area.rect for f in fences)
+    kernel = F.pandas_udf(_in_shape, "boolean")
+
+    def lies(p: str, box: list[Column]) -> Column:
+        x, y = F.col(f"{p}x"), F.col(f"{p}y")
+        round_ = geo.haversine(y, x, F.col("flat"), F.col("flon")) <= F.col("fmeters")
+        if native:
+            test = F.when(F.col("fmeters").isNotNull(), round_).otherwise(F.lit(True))
+        elif points_only:
+            text = F.when(x.isNotNull() & F.col("fmeters").isNull() & ~F.col("rect"), F.format_string('{"type":"Point","coordinates":[%s,%s]}', x, y))
+            test = F.when(F.col("fmeters").isNotNull(), round_).when(F.col("rect"), True).otherwise(kernel(text, F.col("shape"), F.lit(True)))
+        else:
+            test = kernel(F.when(near(box), F.col(f"{p}geojson")), F.col("shape"), F.col("inside"))
+        return F.coalesce(near(box) & test, F.lit(False))
+
+    at = F.col("conditions")
+    told = told.withColumns({"_in": lies("", new), "_was": lies("_prev.", old), "_pass": F.col("_p")[at], "_waspass": F.coalesce(F.col("_prev._p")[at], F.lit(False))})
+    is_set = F.col("command") == "set"
+    before = is_set & F.col("_was") & F.col("_waspass")
+    filtered = (is_set & F.col("_was") & ~F.col("_waspass")) | (F.col("_in") & ~F.col("_pass"))
+    wants = F.col("detect").isNull() | F.arrays_overlap("detect", F.array(F.lit("cross"), F.lit("outside")))
+    open_ = is_set & F.col("_prev.x").isNotNull() & F.col("x").isNotNull() & ~filtered & wants & ~F.col("_in") & ~F.col("_was") & near(way)
+    crossed = F.lit(False)
+    if any(f.detect is None or {"cross", "outside"} & set(f.detect) for f in fences):
+        crossed = F.pandas_udf(_way_meets, "boolean")("_prev.x", "_prev.y", "x", "y", F.when(open_, F.col("shape")))
+    told = told.withColumn("_crossed", crossed)
+    written = ~F.col("command").isin("del", "drop")
+    found = F.when(written, detection(before, F.col("_in") & F.col("_pass"), F.col("command"), F.col("_pass"), F.col("_crossed")))
+    told = told.withColumn("_found", found)
+    names = F.when(written, requested(F.col("_found"), F.col("detect"))).otherwise(F.array(F.col("command")))
+    kept = F.coalesce(F.col("regex").isNull() | F.rlike("id", F.col("regex")) | (F.col("command") == "drop"), F.lit(False))
+    kept = kept & (F.col("commands").isNull() | F.array_contains("commands", F.col("command"))) & ~(F.col("nofields") & (F.col("command") == "fset"))
+    starts = F.coalesce(F.col("_found").isin("enter", "cross"), F.lit(False))
+    told = told.withColumns({"_names": names, "_kept": kept, "_starts": starts}).filter("_kept or _starts")
+    return _as_events(told, F.col("hook"), F.col("_starts"), F.col("_kept"), F.col("_names"))
+
+
+def _as_events(told: DataFrame, hook: Column, starts: Column, kept: Column, names: Column) -> DataFrame:
+    """Rows of (change, fence) as events, one a name; a group begins with the change that `starts` marks."""
+    upto = Window.partitionBy("key", "id", hook).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.last(F.when(starts, F.col("seq")), ignorenulls=True).over(upto)
+    told = told.withColumn("_group", F.coalesce(first, F.lit(-1))).filter(kept)
     out = told.select(
-        "seq", "ts", F.col("_f.hook").alias("hook"), "key", "id", "command", F.posexplode("_f.names").alias("rank", "detect"),
+        "seq", "ts", hook.alias("hook"), "key", "id", "command", F.posexplode(names).alias("rank", "detect"),
         F.col("y").alias("lat"), F.col("x").alias("lon"), "geojson", "fields",
-        F.sha1(F.concat_ws("|", F.col("_f.hook"), "key", "id", F.col("_group").cast("string"))).alias("group"),
+        F.sha1(F.concat_ws("|", hook, "key", "id", F.col("_group").cast("string"))).alias("group"),
     )
     return out.withColumn("detect", F.when(~F.col("detect").isin("del", "drop"), F.col("detect")))
 

@@ -584,6 +584,21 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return fences.events(log(spark, sf), [_fence(detect=["cross"])], True).filter("detect = 'cross'").select("seq", "id", "detect")
 
 
+#: Sixty boxes of three sizes, spread over the map.
+_HOOKS = [(f"h{i}", -80.0 + (i * 37) % 140, -175.0 + (i * 101) % 310, (0.2, 5.0, 30.0)[i % 3]) for i in range(60)]
+
+
+@query("fence_hooks", f"""WITH {LOG_SQL}, h(hook, a, b, n) AS (VALUES {", ".join(f"('{h}', {a}, {b}, {n})" for h, a, b, n in _HOOKS)}),
+v AS (SELECT *, lat BETWEEN a AND a + n AND lon BETWEEN b AND b + n AS now FROM log, h),
+w AS (SELECT *, coalesce(lag(CASE WHEN command <> 'del' THEN now END) OVER (PARTITION BY hook, id ORDER BY seq), false) AS was FROM v)
+SELECT seq, hook, id, command, CASE WHEN command = 'del' THEN NULL WHEN now THEN 'enter' ELSE 'exit' END AS detect FROM w
+WHERE (command = 'del' AND (now OR was)) OR (command = 'set' AND now <> was)""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    ship(spark)
+    many = [fences.Fence(h, "fleet", S.bounds(a, b, a + n, b + n), detect=["enter", "exit"]) for h, a, b, n in _HOOKS]
+    return fences.hook_events(log(spark, sf), many, True).select("seq", "hook", "id", "command", "detect")
+
+
 @query("fence_stream_replay", f"""WITH {_CROSS_SQL} SELECT seq, 'box' AS hook, id, 0 AS rank, CASE WHEN last <> 'del' THEN last END AS detect FROM x
 UNION ALL SELECT seq, 'box', id, 1, CASE last WHEN 'enter' THEN 'inside' ELSE 'outside' END FROM x WHERE last IN ('enter', 'exit', 'cross')""")
 def _(spark: SparkSession, sf: str) -> DataFrame:

@@ -46,6 +46,39 @@ def test_batch_equals_replay(spark, sf):
     assert batch == events_of(stream.stream_events(log, two_fences(), True))
 
 
+def many_fences():
+    """Boxes, circles and triangles of all sizes, asking for all kinds of things."""
+    out, asks = [], [None, ["inside"], ["enter", "exit"], ["cross"], ["outside"], ["exit", "cross"], ["enter"]]
+    for i in range(28):
+        lat, lon, size = -70 + (i * 37) % 130, -170 + (i * 101) % 300, (0.1, 2, 9, 30)[i % 4]
+        area = S.bounds(lat, lon, lat + size, lon + size) if i % 3 else S.circle(lat, lon, size * 80000)
+        if i % 10 == 4:
+            area = S.geojson({"type": "Polygon", "coordinates": [[[lon, lat], [lon + size, lat], [lon, lat + size], [lon, lat]]]})
+        where = [S.Where("op", "value", (">", "5"))] if i % 5 == 0 else []
+        match, commands = ["u1*", "*2"] if i % 4 == 1 else [], ["set", "del"] if i % 6 == 5 else None
+        out.append(fences.Fence(f"h{i}", "fleet", area, match=match, where=where, detect=asks[i % 7], commands=commands, nofields=i % 8 == 3))
+    return out
+
+
+@pytest.mark.parametrize("points_only", [True, False])
+def test_candidates_lose_no_event(spark, sf, points_only):
+    """Fences found by grid cell are told what all fences tested against all changes are, but for deletes far away."""
+    log, many = queries.log(spark, sf).filter("seq < 250"), many_fences()
+    want, got = set(events_of(fences.events(log, many, points_only))), events_of(fences.hook_events(log, many, points_only))
+    assert len(got) == len(set(got)) and set(got) <= want
+    everything = {f.name for f in many if f.detect is None or "outside" in f.detect}
+    missing = want - set(got)
+    assert all(r[4] == "del" and r[1] not in everything for r in missing) and missing and any(r[4] == "del" for r in got)
+
+
+def test_many_fences_one_plan(spark, sf):
+    log = queries.log(spark, sf)
+    make = lambda n: [fences.Fence(f"h{i}", "fleet", S.bounds(i % 80, i % 170, i % 80 + 1, i % 170 + 1), detect=["enter"]) for i in range(n)]
+    plans = [fences.hook_events(log, make(n), True)._jdf.queryExecution().executedPlan().toString() for n in (2, 1000)]
+    assert plans[0].count("Exchange") == plans[1].count("Exchange") and len(plans[1]) < 1.5 * len(plans[0])
+    assert fences.hook_events(log, make(1000), True).count() >= 0
+
+
 def test_stream_equals_batch(spark, sf, tmp_path):
     log = queries.log(spark, sf)
     for i in range(4):

@@ -14,6 +14,7 @@ import time
 
 import pytest
 
+from quadrille.engine import Engine
 from quadrille.streaming import clients, sinks
 
 TEXT = '{"key":"fleet","id":"truck é","n":1}'
@@ -358,3 +359,18 @@ def test_retry_until_it_works():
         rows.append(r)
     assert list(sinks.send_rows(rows, {"h": ["nats://x/t"]}, sinks.Sender(senders={"nats": flaky}), life=5, retry=0.01)) == []
     assert tries == ["m0", "m0", "m0", "m1"]
+
+
+def test_subscriptions_and_info(spark):
+    e = Engine(spark)
+    assert e.execute("SUBSCRIBE news gate")["channels"] == ["news", "gate"] and e.execute("PSUBSCRIBE n*")["patterns"] == ["n*"]
+    e.execute("PUBLISH news hello")
+    e.execute("PUBLISH other hello")
+    assert e.inbox == [("news", "hello")] * 2
+    e.execute("SETCHAN gate WITHIN cars FENCE DETECT enter BOUNDS 0 0 10 10")
+    e.execute("SET cars a POINT 5 5")
+    e.execute("SET cars b STRING text")
+    assert e.inbox[2][0] == "gate" and json.loads(e.inbox[2][1])["detect"] == "enter"
+    info = e.execute("INFO")["info"]
+    assert info["keyspace"]["num_objects"] == 2 and info["keyspace"]["num_strings"] == 1 and info["stats"]["num_hooks"] == 1
+    assert list(e.execute("INFO stats nothing")["info"]) == ["stats"]

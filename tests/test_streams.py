@@ -2,11 +2,13 @@
 
 import itertools
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quadrille import queries
+from quadrille.functions import geo
 from quadrille.operators import fences, kv, mvt, roam
 from quadrille.operators.search import compile
 from quadrille.plans import spec as S
@@ -266,6 +268,43 @@ def test_roam_reports(spark):
     assert [(r.id, r.kind, r.other, r.meters) for r in got] == REPORTS
 
 
+def random_log(spark, n, ids, keys=("k",)):
+    rng = random.Random(5)
+    rows = [(i * i, rng.choice(["set"] * 6 + ["del", "fset"]), rng.choice(keys), f"o{rng.randrange(ids)}", rng.uniform(-3, 3), rng.uniform(-3, 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "seq long, command string, key string, id string, lat double, lon double")
+    at = (F.when(F.col("command") != "del", F.col(c)) for c in ("lat", "lon"))
+    return rows, df.select("seq", F.current_timestamp().alias("ts"), "command", "key", "id", *src.point_geometry(*at))
+
+
+def roamed(rows, key, roam_key, meters, nodwell):
+    """Roaming one change at a time, by the bounding box of the radius."""
+    live, out = {}, set()
+    for seq, command, own, id_, lat, lon in rows:
+        if command == "fset":
+            continue
+        old = live.pop((own, id_), None)
+        if command == "del":
+            continue
+        live[own, id_] = (lat, lon)
+        if own != key:
+            continue
+        for (k, other), (y, x) in live.items():
+            if k != roam_key or other == id_:
+                continue
+            is_new, was = ((lambda b: b[0] <= y <= b[2] and b[1] <= x <= b[3])(geo.rect_around(*p, meters)) if p else False for p in ((lat, lon), old))
+            if is_new and not (was and nodwell):
+                out.add((seq, id_, "nearby", other))
+            elif was and not is_new:
+                out.add((seq, id_, "faraway", other))
+    return out
+
+
+def test_roam_gathers_nothing(spark):
+    """No side of the join is sent to the driver, whatever Spark guesses of its size, and pairs aren't shuffled again."""
+    plan = roam.roam(random_log(spark, 40, 5)[1], "k", "k", "*", 100000)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Aggregate" not in plan and plan.count("SortMergeJoin") == 1
+
+
 def test_fences_share_one_order(spark, sf):
     """However many fences: one scan of the log, and no more shuffles than for one."""
     log = queries.log(spark, sf)

@@ -3,8 +3,10 @@
 import itertools
 import json
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quadrille import queries
@@ -305,6 +307,25 @@ def test_roam_gathers_nothing(spark):
     assert "Broadcast" not in plan and "Aggregate" not in plan and plan.count("SortMergeJoin") == 1
 
 
+def test_roam_spans(spark):
+    """A move meets what lives in its span of the log: spans are short, yet versions take few rows more."""
+    rows, log = random_log(spark, 3000, 20)
+    sets = log.filter("command != 'fset'").withColumn("until", F.lead("seq").over(Window.partitionBy("id").orderBy("seq"))).filter("command = 'set'")
+    span, shift = roam._spans(log, sets.withColumnRenamed("seq", "since"))
+    got = sets.select("seq", span("seq").alias("lo"), span(F.coalesce("until", F.lit(2**63 - 1))).alias("hi")).collect()
+    assert sum((r.hi >> shift) - (r.lo >> shift) for r in got) <= 2 * len(rows)
+    assert max(Counter(r.lo >> shift for r in got).values()) <= 2 * roam.SPAN
+
+
+@pytest.mark.parametrize("roam_key", ["k", "other"])
+def test_roam_nearby_one_by_one(spark, monkeypatch, roam_key):
+    """Against one change at a time, with spans of very few rows, and gaps in seq that grow."""
+    monkeypatch.setattr(roam, "SPAN", 4)
+    rows, log = random_log(spark, 400, 12, ("k", "other"))
+    got = [(r.seq, r.id, r.kind, r.other) for r in roam.roam(log, "k", roam_key, "*", 150000).collect()]
+    assert len(got) == len(set(got)) and set(got) == roamed(rows, "k", roam_key, 150000, False)
+
+
 def test_fences_share_one_order(spark, sf):
     """However many fences: one scan of the log, and no more shuffles than for one."""
     log = queries.log(spark, sf)

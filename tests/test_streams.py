@@ -326,6 +326,17 @@ def test_roam_nearby_one_by_one(spark, monkeypatch, roam_key):
     assert len(got) == len(set(got)) and set(got) == roamed(rows, "k", roam_key, 150000, False)
 
 
+def test_roam_nodwell_one_by_one(spark, monkeypatch):
+    """With nodwell, an object that was near before the move isn't told again; spans are cut and joined alike."""
+    monkeypatch.setattr(roam, "SPAN", 4)
+    rows, log = random_log(spark, 400, 12)
+    events = roam.roam(log, "k", "k", "*", 150000, nodwell=True)
+    got = [(r.seq, r.id, r.kind, r.other) for r in events.collect()]
+    assert len(got) == len(set(got)) and set(got) == roamed(rows, "k", "k", 150000, True)
+    plan = events._jdf.queryExecution().executedPlan().toString()
+    assert "[span" in plan and "Aggregate" not in plan
+
+
 def test_fences_share_one_order(spark, sf):
     """However many fences: one scan of the log, and no more shuffles than for one."""
     log = queries.log(spark, sf)

@@ -41,8 +41,8 @@ MAPS = [f"map{i}" for i in range(MAP)]
 #: Chance at which a pair at the threshold may differ in more register bits than allowed.
 TAIL = 1e-9
 #: Pivots of a bucket by round; later rounds take four times as many as the one before. A bucket with no more members than
-#: that is done in the round.
-PIVOTS = (1, 64, 4096)
+#: that is done in the round. The first numbers are small, so that classes have closed before many pivots meet their members.
+PIVOTS = (1, 8, 64, 4096)
 #: Most ids of a broadcast; more are joined by a shuffle.
 BROADCAST = 500_000
 #: Members of a bucket that meet its pivots in one task; a larger bucket is dealt over several.
@@ -210,7 +210,8 @@ def _candidates(state: DataFrame, p: int, percent: int, unequal: int) -> tuple[D
     drawn = state.groupBy("key", slot.alias("slot")).agg(
         F.min(F.struct(F.xxhash64("rep").alias("h"), "comp", *facts)).alias("at"), F.max("size").alias("size")
     )
-    pivots = drawn.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(f"at.{n}").alias(f"p_{n}") for n in ["comp", *facts]])
+    every = (F.col("size") <= p).alias("every")
+    pivots = drawn.select("key", every, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(f"at.{n}").alias(f"p_{n}") for n in ["comp", *facts]])
     dealt = state.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "rep"), parts).cast("int"))
     least, total = F.least("common", "p_common"), F.col("n_shingles") + F.col("p_n_shingles")
     # Bits that only one of the two maps has count against both sides' common shingles.
@@ -218,7 +219,9 @@ def _candidates(state: DataFrame, p: int, percent: int, unequal: int) -> tuple[D
     shared = (F.col("common") + F.col("p_common") - unlike) / 2
     apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"p_{b}"))) for b in BITS), F.lit(0))
     enough = lambda most: F.lit(100) * most >= F.lit(percent) * (total - most)
-    near = (F.col("comp") != F.col("p_comp")) & enough(least) & (apart <= unequal) & enough(shared)
+    # Where every member is a pivot, a pair meets twice.
+    once = ~F.col("every") | (F.col("rep") < F.col("p_rep"))
+    near = (F.col("comp") != F.col("p_comp")) & once & enough(least) & (apart <= unequal) & enough(shared)
     pairs = dealt.join(pivots, ["key", "part"]).filter(near)
     pairs = pairs.select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct()
     return pairs, drawn.select("key", F.col("at.rep").alias("rep"))

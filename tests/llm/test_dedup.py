@@ -1,4 +1,5 @@
 import hashlib
+import importlib
 import json
 import random
 import re
@@ -11,6 +12,8 @@ import pytest
 from quadrille.llm import common, exact_dedup, near_dedup, setsketch
 from quadrille.llm.components import components
 
+components_module = importlib.import_module("quadrille.llm.components")
+
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -267,3 +270,30 @@ def test_components(spark):
     alone = {a for a, b in links if a == b} - {x for a, b in links if a != b for x in (a, b)}
     assert got == {x: find(x) for x in parent if x not in alone}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("few", [-1, components_module.FEW])
+def test_components_here_and_there(spark, monkeypatch, few):
+    """On the driver and on the executors: long chains in any order, negative and large ids, loops, nulls, repeats."""
+    monkeypatch.setattr(components_module, "FEW", few)
+    chain = [(i * 7 % 301 - 5, (i + 1) * 7 % 301 - 5) for i in range(200)]
+    links = [*chain, *chain[:9], (2**62, -(2**62)), (2**62, 2**61), (1000, 1000), (None, 3), (4, None)]
+    got = components(spark.createDataFrame(links, "a long, b long")).collect()
+    want = {x: min(y for e in chain for y in e) for e in chain for x in e} | {x: -(2**62) for x in (2**62, 2**61, -(2**62))}
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want
+
+
+def test_near_copies_pairs(spark, monkeypatch):
+    """A bucket of many copies that link only in part: classes close before many pivots meet them, so pairs stay few."""
+    rng = random.Random(3)
+    base, rows, seen = [f"w{rng.randrange(10**6)}" for _ in range(120)], [], []
+    for i in range(300):
+        text = list(base)
+        for j in rng.sample(range(120), rng.choice([1, 2, 3])):
+            text[j] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    real = near_dedup._linked
+    monkeypatch.setattr(near_dedup, "_linked", lambda pairs, *rest: seen.append(pairs.count()) or real(pairs, *rest))
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_near(rows)
+    assert sum(seen[1:]) < 600, seen

@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -337,6 +338,40 @@ def test_roam_nodwell_one_by_one(spark, monkeypatch):
     assert "[span" in plan and "Aggregate" not in plan
 
 
+@pytest.mark.parametrize("nodwell", [False, True])
+@pytest.mark.parametrize("mode", ["compat", "radius"])
+def test_roam_kinds(spark, monkeypatch, mode, nodwell):
+    """Asked for one kind, roaming tells what it tells of it anyhow, but lists moves under the boxes of that kind only."""
+    monkeypatch.setattr(roam, "SPAN", 4)
+    log = random_log(spark, 300, 12)[1].cache()
+    told = {tuple(r) for r in roam.roam(log, "k", "k", "*", 150000, None, nodwell, mode).collect()}
+    for kind in roam.KINDS:
+        got = [tuple(r) for r in roam.roam(log, "k", "k", "*", 150000, None, nodwell, mode, [kind]).collect()]
+        assert len(got) == len(set(got)) and set(got) == {r for r in told if r[4] == kind} != set()
+    log.unpersist()
+    with pytest.raises(ValueError, match="invalid kinds"):
+        roam.roam(log, "k", "k", "*", 150000, kinds=["inside"])
+
+
+def join_of(events):
+    """Spark's description of the one join in a plan."""
+    (join,) = (x for x in events._jdf.queryExecution().executedPlan().toString().splitlines() if "SortMergeJoin" in x)
+    return join
+
+
+def test_roam_nearby_measures_boxes_once_a_move(spark, sf):
+    """Pairs are only compared with the boxes: the old box isn't listed or met, and no angle is worked out in the join."""
+    join = join_of(queries.QUERIES["roam_nearby"](spark, sf))
+    assert "west#" in join and "owest#" not in join
+    assert not re.search("(?i)asin|cos|radians|degrees", join)
+
+
+def test_roam_nearby_tenths(spark):
+    """Whole millimetres go to tenths of a metre as F.round has them, halves and very long ways included."""
+    mm = spark.range(200_000).select((F.col("id") / 1000).alias("m")).union(spark.range(200_000).select((F.col("id") * 50 + 20_000_000_050) / 1000))
+    assert mm.filter(queries._tenths(F.col("m")) != F.round("m", 1)).count() == 0
+
+
 def test_fences_share_one_order(spark, sf):
     """However many fences: one scan of the log, and no more shuffles than for one."""
     log = queries.log(spark, sf)

@@ -372,6 +372,20 @@ def test_roam_nearby_tenths(spark):
     assert mm.filter(queries._tenths(F.col("m")) != F.round("m", 1)).count() == 0
 
 
+def test_roam_nodwell_of_copies(spark, monkeypatch):
+    """Rows that repeat a seq: of the versions only the last is met, and one copy of a move tells, since the others stay."""
+    monkeypatch.setattr(roam, "SPAN", 4)
+    rows, log = random_log(spark, 300, 12)
+    events = roam.roam(log.withColumn("copy", F.explode(F.array(*map(F.lit, range(6))))).drop("copy"), "k", "k", "*", 150000, nodwell=True, kinds=["nearby"])
+    got = [(r.seq, r.id, r.kind, r.other) for r in events.collect()]
+    assert len(got) == len(set(got)) and set(got) == {r for r in roamed(rows, "k", "k", 150000, True) if r[2] == "nearby"}
+
+
+def test_roam_nodwell_measures_boxes_once_a_move(spark, sf):
+    join = join_of(queries.QUERIES["roam_nodwell"](spark, sf))
+    assert "west#" in join and "owest#" in join and not re.search("(?i)asin|cos|radians|degrees", join)
+
+
 def test_fences_share_one_order(spark, sf):
     """However many fences: one scan of the log, and no more shuffles than for one."""
     log = queries.log(spark, sf)

@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import math
 import random
 import re
 from collections import Counter
@@ -308,6 +309,45 @@ def test_roam_gathers_nothing(spark):
     assert "Broadcast" not in plan and "Aggregate" not in plan and plan.count("SortMergeJoin") == 1
 
 
+def shuffles(node):
+    """(what is dealt by, rows written) of each shuffle of a plan that has run."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+        return shuffles(node.executedPlan() if kind.startswith("A") else node.plan())
+    own = [(node.outputPartitioning().toString(), node.metrics().apply("shuffleRecordsWritten").value())] if kind == "ShuffleExchangeExec" else []
+    return sum((shuffles(node.children().apply(i)) for i in range(node.children().size())), own)
+
+
+def test_roam_moves_travel_in_few_rows(spark):
+    """A move is shuffled for the join under two to three cells on the mean, and its box doesn't travel with it."""
+    rows, log = random_log(spark, 3000, 20)
+    df = roam.roam(log, "k", "k", "*", 150000, kinds=["nearby"]).select("seq", "id", "other")
+    assert df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    dealt = [n for by, n in shuffles(plan) if by.startswith(("hashpartitioning(place", "hashpartitioning(span"))]
+    moves = sum(r[1] == "set" for r in rows)
+    assert len(dealt) == 2 and moves < max(dealt) < 3 * moves
+    join = plan.toString().split("SortMergeJoin")[1].split("Exchange hashpartitioning(place", 1)
+    assert "wide" in join[0] and "ASIN" in join[0]
+
+
+def test_roam_at_the_edges_of_the_map(spark):
+    """Cells that widen with the parallels, poles, the date line and places beyond the map: each pair once."""
+    at = [(y, x) for y in (-90, -89.5, -60, -59, 0, 61, 76, 89, 90) for x in (-200, -180, -179, -1, 0, 90, 179.5, 180, 181)]
+    rows = [(i, "set", "k", f"o{i % 60}", float(y), float(x)) for i, (y, x) in enumerate(at * 2)]
+    df = spark.createDataFrame(rows, "seq long, command string, key string, id string, lat double, lon double")
+    log = df.select("seq", F.current_timestamp().alias("ts"), "command", "key", "id", *src.point_geometry(F.col("lat"), F.col("lon")))
+    for meters in (3, 90000, 1500000, 9000000):
+        step = math.degrees(meters / geo.EARTH)
+        sides = dict(df.select("seq", geo.half_width(F.col("lat"), meters)).collect())
+        live, want = {}, []
+        for seq, _, _, id_, y, x in rows:
+            live[id_] = (y, x)
+            want += [(seq, o) for o, (b, a) in live.items() if o != id_ and x - sides[seq] <= a <= x + sides[seq] and y - step <= b <= y + step]
+        got = [(r.seq, r.other) for r in roam.roam(log, "k", "k", "*", meters, kinds=["nearby"]).collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_roam_spans(spark):
     """A move meets what lives in its span of the log: spans are short, yet versions take few rows more."""
     rows, log = random_log(spark, 3000, 20)

@@ -328,7 +328,7 @@ def test_roam_moves_travel_in_few_rows(spark):
     moves = sum(r[1] == "set" for r in rows)
     assert len(dealt) == 2 and moves < max(dealt) < 3 * moves
     join = plan.toString().split("SortMergeJoin")[1].split("Exchange hashpartitioning(place", 1)
-    assert "wide" in join[0] and "ASIN" in join[0]
+    assert "AS west#" in join[0] and "ASIN" in join[0]
 
 
 def test_roam_at_the_edges_of_the_map(spark):
